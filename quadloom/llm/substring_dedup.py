@@ -98,7 +98,7 @@ PACKED = "bucket int, batch long, hashes binary, offsets binary, starts binary,
 
 
 def _send(width: int, n_buckets: int):
-    """Rows of PACKED: one per bucket with entries, and one (bucket -1) with the batch's documents and what it decided itself."""
+    """Rows of PACKED: one per bucket with entries, and one, with ``keys``, of the batch's documents and what it decided itself."""
 
     def flush(batch: int, ids: list[int], keys: list[int], parts: list[np.ndarray]) -> Iterator[tuple]:
         counts = np.array([len(p) for p in parts], np.int64)
@@ -112,7 +112,7 @@ def _send(width: int, n_buckets: int):
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         least = np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h)))) if len(h) else d
         mine = d == least
-        yield -1, batch, b"", pack(_deltas(np.sort(order[~mine]).astype(np.uint64))), pack(starts[:-1].astype(np.uint64)), doc_ids.tobytes(), np.array(keys, np.int64).tobytes()
+        yield batch % n_buckets, batch, b"", pack(_deltas(np.sort(order[~mine]).astype(np.uint64))), pack(starts[:-1].astype(np.uint64)), doc_ids.tobytes(), np.array(keys, np.int64).tobytes()
         h, order, d = h[mine], order[mine], d[mine]
         bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
         edges = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
@@ -153,28 +153,36 @@ def _send(width: int, n_buckets: int):
     return run
 
 
+FOUND = "batch long, offsets binary, starts binary, ids binary, keys binary"
+
+
 def _repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket: each batch's offsets whose window also starts in a document with a smaller id."""
-    batch, hashes, docs, offsets = [], [], [], []
-    for row in table.to_batches():
-        for r in row.to_pylist():
+    """Of one bucket: each batch's offsets whose window also starts in a document with a smaller id. Batches' own rows pass."""
+    own, batch, hashes, docs, offsets = [], [], [], [], []
+    for part in table.to_batches():
+        for r in part.to_pylist():
+            if r["keys"]:
+                own.append((r["batch"], r["offsets"], r["starts"], r["ids"], r["keys"]))
+                continue
             hashes.append(np.cumsum(unpack(r["hashes"]), dtype=np.uint64))
             which = np.cumsum(unpack(r["ids"]), dtype=np.uint64).view(np.int64)
             docs.append(which[unpack(r["starts"]).astype(np.int64)])
             offsets.append(unpack(r["offsets"]).astype(np.int64))
             batch.append(np.full(len(offsets[-1]), r["batch"], np.int64))
-    batch, h, d, offset = map(np.concatenate, (batch, hashes, docs, offsets))
-    order = np.argsort(h, kind="stable")
-    h, d, batch, offset = h[order], d[order], batch[order], offset[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    least = np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h))))
-    hit = d > least
-    batch, offset = batch[hit], offset[hit]
-    order = np.lexsort((offset, batch))
-    batch, offset = batch[order], offset[order]
-    which, start = np.unique(batch, return_index=True)
-    rows = [pack(_deltas(x.astype(np.uint64))) for x in np.split(offset, start[1:])] if len(which) else []
-    return pa.table({"batch": pa.array(which, pa.int64()), "offsets": pa.array(rows, pa.binary())})
+    rows = own
+    if batch:
+        batch, h, d, offset = map(np.concatenate, (batch, hashes, docs, offsets))
+        order = np.argsort(h, kind="stable")
+        h, d, batch, offset = h[order], d[order], batch[order], offset[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        hit = d > np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h))))
+        batch, offset = batch[hit], offset[hit]
+        order = np.lexsort((offset, batch))
+        batch, offset = batch[order], offset[order]
+        which, start = np.unique(batch, return_index=True)
+        rows += [(int(b), pack(_deltas(x.astype(np.uint64))), b"", b"", b"") for b, x in zip(which, np.split(offset, start[1:]) if len(which) else [])]
+    kinds = [pa.int64(), *[pa.binary()] * 4]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 INTERVALS = "doc_id long, text_key long, starts array<int>, stops array<int>"
@@ -218,11 +226,9 @@ def repeated_intervals(docs: DataFrame, width: int = 13) -> DataFrame:
     """
     n = buckets(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    sent = cut(rows.mapInArrow(_send(width, n), PACKED))
-    found = sent.where("bucket >= 0").repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeats, "batch long, offsets binary")
-    own = sent.where("bucket < 0").select("batch", "offsets", "starts", "ids", "keys")
-    back = found.select("batch", "offsets", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("keys"))
-    return own.unionByName(back).groupBy("batch").applyInArrow(_intervals(width), INTERVALS).dropDuplicates(["doc_id", "text_key"])
+    sent = rows.mapInArrow(_send(width, n), PACKED)
+    found = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeats, FOUND)
+    return found.groupBy("batch").applyInArrow(_intervals(width), INTERVALS).dropDuplicates(["doc_id", "text_key"])
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, texts: bool = False) -> DataFrame:
