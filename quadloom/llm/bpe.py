@@ -315,29 +315,31 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def bpe_encode(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
-    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``texts`` ids and decoded too.
+def bpe_encode(docs: DataFrame, path: str, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, and if asked for ids and decoded.
 
     One narrow pass. The vocabulary file is a parameter and must be at ``path`` on every machine. Nulls: a null text is
     empty; a null doc_id is returned. Repeated rows give repeated results; an empty table gives none.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = bpe.encode_batch(batch.column(1).to_pylist())
-                decoded = [bpe.decode(x) for x in ids]
+                codes = bpe.encode_batch(batch.column(1).to_pylist())
+                texts = [bpe.decode(x) for x in codes]
                 columns = {
                     "doc_id": batch.column(0),
-                    "n_tokens": pa.array(map(len, ids), pa.int64(), size=len(ids)),
-                    "ids_sha256": pa.array([sha256(little(x)) for x in ids]),
-                    "decoded_sha256": pa.array([sha256(x) for x in decoded]),
+                    "n_tokens": pa.array(map(len, codes), pa.int64(), size=len(codes)),
+                    "ids_sha256": pa.array([sha256(little(x)) for x in codes], pa.string()),
+                    "decoded_sha256": pa.array([sha256(x) for x in texts], pa.string()),
                 }
-                if texts:
-                    columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded)}
+                if ids:
+                    columns["ids"] = pa.array(codes, pa.list_(pa.int32()))
+                if decoded:
+                    columns["decoded"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language_id, quality_model, quality_rules, simhash_docs, substring_dedup
+from . import bpe, chat, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash_docs, substring_dedup
 from .common import documents
 
 #: The vocabulary of the encoding queries.
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("text")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), vocabulary())
 
@@ -37,6 +41,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chat(rows.unionByName(more)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lines, removed lines and the digest of the text that stays."""
+    done = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.selectExpr("cast(doc_id as long) doc_id", "n_lines", "n_removed", "sha2(encode(coalesce(text, ''), 'UTF-8'), 256) kept_sha256")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_docs.simhash_near_dedup(documents(spark, sf_dir))
 
@@ -60,7 +70,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_bpe_encode, op4_chat_format, op6_simhash_near_dedup, op7_quality_classifier, op8_token_counts, op9_substring_dedup, op10_language_id)
+    for f in (
+        op1_quality_rules,
+        op2_decontaminate,
+        op3_bpe_encode,
+        op4_chat_format,
+        op5_line_dedup,
+        op6_simhash_near_dedup,
+        op7_quality_classifier,
+        op8_token_counts,
+        op9_substring_dedup,
+        op10_language_id,
+    )
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -108,4 +129,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   n_lines, n_failed_lines, lost_chars FROM b
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1}
+_UNITS = decontaminate.UNITS
+_TOKENS = (
+    r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])[.,]([0-9])', '\1\2', 'g'),"
+    r" '([0-9]) ?(" + _UNITS + r")([^\p{L}\p{N}]|$)', '\1 ' || chr(2) || '\2\3', 'g'),"
+    r" '([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)', '\1' || chr(1) || '\2', 'g')), '[^\p{L}\p{N}\x01\x02]+'), lambda x: x <> '')"
+)
+_TEMPLATE = (
+    "list_transform({0}, lambda x: CASE WHEN x[1] = chr(1) THEN '@' WHEN x[1] = chr(2) THEN '%' WHEN x[1] >= '0' AND x[1] <= '9' THEN '#' ELSE x END)"
+)
+_OP2 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_TOKENS} AS tok FROM documents
+), b AS (
+  SELECT DISTINCT item_id, {_TOKENS} AS tok FROM benchmark WHERE text IS NOT NULL
+), dw AS (
+  SELECT rid, u AS pos, {_TEMPLATE.format('tok[u + 1 : u + 5]')} AS t, tok[u + 1 : u + 5] AS w FROM d, LATERAL (SELECT unnest(range(len(tok) - 4)) AS u)
+), bw AS (
+  SELECT * FROM (SELECT item_id, u AS bpos, {_TEMPLATE.format('tok[u + 1 : u + 5]')} AS t, tok[u + 1 : u + 5] AS w FROM b, LATERAL (SELECT unnest(range(len(tok) - 4)) AS u))
+  WHERE len(list_filter(t, lambda x: x NOT IN ('@', '%', '#'))) >= 2
+), n AS (
+  SELECT item_id, count(DISTINCT bpos) AS windows FROM bw GROUP BY item_id
+), h AS (
+  SELECT DISTINCT rid, item_id, pos - bpos AS shift, bpos, t, dw.w AS dwords, bw.w AS bwords FROM dw JOIN bw USING (t)
+), p AS (
+  SELECT DISTINCT rid, item_id, shift, dwords[i] AS d, bwords[i] AS b FROM (SELECT *, unnest(range(1, 6)) AS i FROM h) WHERE t[i] IN ('@', '%', '#')
+), bad AS (
+  SELECT rid, item_id, shift FROM p GROUP BY rid, item_id, shift HAVING count(DISTINCT d) < count(*) OR count(DISTINCT b) < count(*)
+), ok AS (
+  SELECT * FROM h ANTI JOIN bad USING (rid, item_id, shift)
+), runs AS (
+  SELECT rid, item_id, bool_or(k >= 9) AS run FROM (
+    SELECT rid, item_id, shift, g, count(DISTINCT bpos) AS k FROM (
+      SELECT DISTINCT rid, item_id, shift, bpos, bpos - dense_rank() OVER (PARTITION BY rid, item_id, shift ORDER BY bpos) AS g FROM ok
+    ) GROUP BY rid, item_id, shift, g
+  ) GROUP BY rid, item_id
+), found AS (
+  SELECT rid, item_id FROM (SELECT rid, item_id, count(DISTINCT bpos) AS k FROM ok GROUP BY rid, item_id) JOIN n USING (item_id) JOIN runs USING (rid, item_id)
+  WHERE k >= 0.8::DOUBLE * windows OR run
+), f AS (
+  SELECT rid, count(*) AS n_items, min(item_id) AS item_id FROM found GROUP BY rid
+)
+SELECT doc_id::BIGINT AS doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, item_id::BIGINT AS item_id FROM d LEFT JOIN f USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op2_decontaminate": _OP2}

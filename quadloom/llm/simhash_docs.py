@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, utf8
+from .common import components, cut, lookup, utf8
 
 #: Fingerprints of one block of a tile, on average at most.
 BLOCK = 2048
@@ -46,16 +46,16 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, of every whole text."""
+    """(doc_id, tk, fp): the fingerprint, as a signed long, and a hash of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+                values = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["doc_id", "tk", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) tk", "text").mapInArrow(run, "doc_id long, tk long, fp long")
 
 
 def _offsets(radius: int) -> list[int]:
@@ -125,6 +125,17 @@ def links(distinct: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame
     return compared.mapInArrow(run, "a long, b long")
 
 
+def _grouped(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """(doc_id, tk, fp, component, component_id) of every row; a component is named by a fingerprint."""
+    marked = cut(fingerprints(docs, shingle))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    groups = components(links(distinct, radius))
+    named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = cut(named.join(firsts, "component").select("fp", "component", "component_id"))
+    return marked.join(of, "fp")
+
+
 def simhash_near_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links of at most ``radius`` bits.
 
@@ -133,18 +144,18 @@ def simhash_near_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3) -> Da
     any other; a null doc_id is linked but never names a component unless all its component's are null. Repeated rows give
     repeated results; an empty table gives none; further columns are ignored.
     """
-    marked = cut(fingerprints(docs, shingle))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = components(links(distinct, radius))
-    named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = cut(named.join(firsts, "component").select("fp", "component_id"))
-    return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, radius, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The documents that name their component: one of each group stays, with all its columns; exact repeated rows count once."""
-    found = simhash_near_dedup(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    # rows that repeat a doc_id: the smallest text stands for them
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept
+    """One row of each group, with all its columns: the smallest by doc_id (nulls last), then by text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    kept = _grouped(docs, radius, shingle).groupBy("component").agg(F.min(order).alias("r"))
+    kept = cut(kept.select(F.col("r.doc_id").alias("_id"), F.col("r.tk").alias("_tk")))
+    on = docs.doc_id.cast("long").eqNullSafe(kept._id) & (F.xxhash64(docs.text) == kept._tk)
+    rows = lookup(docs, kept, on, "left_semi", 24)
+    repeated = docs.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tk")).count().where("count > 1")
+    if repeated.isEmpty():
+        return rows
+    # rows of equal doc_id and text: one stays
+    return rows.withColumn("_tk", F.xxhash64("text")).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
