@@ -22,12 +22,17 @@ SAMPLE_DOCS, SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 12_000, 1 << 14, 96, 6, 2, 32
 CACHE_TOKENS = 500_000
 
 
-def _index_vectors(slots: int = SLOTS, dim: int = DIM, nonzero: int = NONZERO) -> np.ndarray:
-    """Each slot's sparse random vector of a few +1 and -1."""
+def _index_entries(slots: int = SLOTS, dim: int = DIM, nonzero: int = NONZERO) -> tuple[np.ndarray, np.ndarray]:
+    """Each slot's sparse random vector: the dimensions of its few entries, and their signs."""
     rng = np.random.default_rng(20_240_501)
-    out = np.zeros((slots, dim), np.float32)
     at = rng.random((slots, dim)).argpartition(nonzero, axis=1)[:, :nonzero]
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.float32), (slots, nonzero)), axis=1)
+    return at.astype(np.int64), rng.choice(np.array([-1, 1], np.float64), (slots, nonzero))
+
+
+def _index_vectors() -> np.ndarray:
+    at, sign = _index_entries()
+    out = np.zeros((SLOTS, DIM), np.float32)
+    np.put_along_axis(out, at, sign.astype(np.float32), axis=1)
     return out
 
 
@@ -44,7 +49,7 @@ class Slots:
         if len(known) > CACHE_TOKENS:
             known.clear()
         found = TOKEN.findall(text)
-        for w in set(found) - known.keys():
+        for w in set(found).difference(known):
             known[w] = zlib.crc32(_shape(w).encode("utf-8", "surrogatepass")) % SLOTS
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
@@ -92,23 +97,29 @@ def pool(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
             yield batch, batch.column(column).to_pylist()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum of the neighbours' index vectors for each slot, over one partition of the sample."""
-    index, total, of = _index_vectors(), np.zeros((SLOTS, DIM), np.float32), Slots()
+    (at, sign), of = _index_entries(), Slots()
+    total = np.zeros(SLOTS * DIM, np.float64)
     for _, texts in _texts(batches, 0):
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for t in texts:
             s = of(t)
             for k in range(1, WINDOW + 1):
                 if len(s) > k:
-                    np.add.at(total, s[k:], index[s[:-k]])
-                    np.add.at(total, s[:-k], index[s[k:]])
+                    pairs += [(s[k:], s[:-k]), (s[:-k], s[k:])]
+        if not pairs:
+            continue
+        word, near = (np.concatenate(x) for x in zip(*pairs))
+        for j in range(NONZERO):
+            total += np.bincount(word * DIM + at[near, j], weights=sign[near, j], minlength=SLOTS * DIM)
     if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["total"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> QualityModel:
@@ -127,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Q
     sample = texts.join(F.broadcast(marks), "id").select("text", "y", "id")
     sample = cut(sample.repartition(8, "id"))
     vectors = _index_vectors()
-    for row in sample.select("text").mapInArrow(_contexts, "total binary").toLocalIterator():
+    for row in sample.select("text").mapInArrow(_contexts, "total binary").collect():  # one table for each of 8 partitions
         vectors = vectors + np.frombuffer(row["total"], np.float32).reshape(SLOTS, DIM)
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)).astype(np.float32)
     # neighbours describe a word, its own random vector tells it apart
