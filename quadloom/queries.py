@@ -376,16 +376,16 @@ def _event_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LOG = "SELECT CASE WHEN event_type = 'view' THEN 'del' WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'clear' ELSE 'add' END AS op, user_id AS u, event_id % 7 AS t, user_id % 5 AS g, event_id AS at FROM events"
-_FOLD = f"WITH l AS ({_LOG}), x AS (SELECT u, t, g, max(at) AS at, arg_max(op, at) AS op FROM l WHERE op <> 'clear' GROUP BY 1, 2, 3), k AS (SELECT g, max(at) AS cut FROM l WHERE op = 'clear' GROUP BY 1), live AS (SELECT x.* FROM x LEFT JOIN k USING (g) WHERE op = 'add' AND (cut IS NULL OR at > cut))"
+_LOG = "SELECT CASE WHEN event_type = 'view' THEN 'del' WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'clear' ELSE 'add' END AS op, user_id AS u, event_id % 7 AS t, user_id % 5 AS g, event_id AS tm FROM events"
+_FOLD = f"WITH l AS ({_LOG}), x AS (SELECT u, t, g, max(tm) AS tm, arg_max(op, tm) AS op FROM l WHERE op <> 'clear' GROUP BY 1, 2, 3), k AS (SELECT g, max(tm) AS til FROM l WHERE op = 'clear' GROUP BY 1), live AS (SELECT x.* FROM x LEFT JOIN k USING (g) WHERE op = 'add' AND (til IS NULL OR tm > til))"
 
 
-@query("op81_fold_with_clears", _FOLD + " SELECT 'http://ex.org/g/' || g AS g, count(*) AS n, max(at) AS newest FROM live GROUP BY 1")
+@query("op81_fold_with_clears", _FOLD + " SELECT 'http://ex.org/g/' || g AS g, count(*) AS n, max(tm) AS newest FROM live GROUP BY 1")
 def _fold(spark, d):
     return oplog.fold(_event_log(spark, d)).groupBy(F.regexp_extract("c", "^<(.*)>$", 1).alias("g")).agg(F.count("*").alias("n"), F.max("tx_time").alias("newest"))
 
 
-@query("op83_commit_netting", f"WITH l AS ({_LOG}), x AS (SELECT u, t, g, max(at) AS at, arg_max(op, at) AS op FROM l WHERE op <> 'clear' GROUP BY 1, 2, 3), k AS (SELECT g, max(at) AS cut FROM l WHERE op = 'clear' GROUP BY 1) SELECT op, count(*) AS n FROM (SELECT x.op FROM x LEFT JOIN k USING (g) WHERE cut IS NULL OR at > cut UNION ALL SELECT 'clear' FROM k) GROUP BY 1")
+@query("op83_commit_netting", f"WITH l AS ({_LOG}), x AS (SELECT u, t, g, max(tm) AS tm, arg_max(op, tm) AS op FROM l WHERE op <> 'clear' GROUP BY 1, 2, 3), k AS (SELECT g, max(tm) AS til FROM l WHERE op = 'clear' GROUP BY 1) SELECT op, count(*) AS n FROM (SELECT x.op FROM x LEFT JOIN k USING (g) WHERE til IS NULL OR tm > til UNION ALL SELECT 'clear' FROM k) GROUP BY 1")
 def _net(spark, d):
     return oplog.net(_event_log(spark, d)).groupBy("op").agg(F.count("*").alias("n"))
 
