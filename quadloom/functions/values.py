@@ -165,6 +165,12 @@ def equal(a: Val, b: Val) -> Column:
         return term(a) == term(b)
     if TERM not in (ka, kb):  # literals of different, known types: not comparable
         return F.lit(None).cast("boolean")
+    if ka.numeric or kb.numeric:
+        found, t = _number_and_term(a, b, lambda p, q: p == q)
+        return F.when(~T.is_literal(t), F.lit(False)).when(found.isNotNull(), found).when(T.lang_col(t) != "", F.lit(False))
+    if STRING in (ka, kb):
+        t, other = (b.col, a) if kb == TERM else (a.col, b)
+        return F.when(t == term(other), F.lit(True)).when(~T.is_literal(t) | (T.datatype_col(t).isin(T.XSD + "string", T.LANG_STRING)), F.lit(False))
     x, y = term(a), term(b)
     dx, dy = T.datatype_col(x), T.datatype_col(y)
     nx, ny = T.double_col(x), T.double_col(y)
@@ -184,6 +190,19 @@ def equal(a: Val, b: Val) -> Column:
     )
 
 
+def _number_and_term(a: Val, b: Val, f) -> tuple[Column, Column]:
+    """f(a, b) for a native number and a generic term, NULL where the term is no number; and the term's column."""
+    swap = a.kind == TERM
+    n, t = (b, a) if swap else (a, b)
+    f_ = (lambda x, y: f(y, x)) if swap else f
+    double = T.double_col(t.col)
+    by_double = F.when(~F.isnan(double), f_(n.col.try_cast("double"), double)).when(F.isnan(double), F.lit(False))
+    if n.kind.tag == "double":
+        return by_double, t.col
+    exact = T.exact_col(t.col)
+    return F.when(exact.isNotNull(), f_(n.col.try_cast("decimal(38,18)"), exact)).otherwise(by_double), t.col
+
+
 def _nested_prefix(a: Kind, b: Kind) -> bool:
     return a.prefix.startswith(b.prefix) or b.prefix.startswith(a.prefix)
 
@@ -206,6 +225,8 @@ def less(a: Val, b: Val) -> tuple[Column, Column]:
         return a.col < b.col, a.col == b.col
     if ka == kb and ka.tag in ("string", "boolean", "dateTime"):
         return a.col < b.col, a.col == b.col
+    if (ka.numeric or kb.numeric) and TERM in (ka, kb):
+        return _number_and_term(a, b, lambda p, q: p < q)[0], _number_and_term(a, b, lambda p, q: p == q)[0]
     x, y = term(a), term(b)
     dx, dy = T.datatype_col(x), T.datatype_col(y)
     nx, ny = T.double_col(x), T.double_col(y)

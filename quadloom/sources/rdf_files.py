@@ -74,7 +74,8 @@ def parse_turtle(text: str, base: str = "") -> list[tuple[str, str, str, str]]:
             if which == "BASE":
                 p.base = p.next()[1:-1]
             else:
-                p.prefixes[p.next()[:-1]] = p.resolve(p.next()[1:-1])
+                name = p.next()[:-1]
+                p.prefixes[name] = p.resolve(p.next()[1:-1])
             continue
         if p.accept("GRAPH"):
             pass
