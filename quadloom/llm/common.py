@@ -46,8 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes ``df`` reads; it needs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files that ``df`` reads, by the optimizer's statistics; it needs no job. Sources of unknown size count as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
