@@ -6,7 +6,7 @@ import hashlib
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
@@ -57,12 +57,13 @@ def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     return min(1_000_000, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each)))
 
 
-def lookup(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int | None = None) -> DataFrame:
-    """Join with a materialised ``right``: broadcast behind a check of its rows and bytes, else shuffled."""
-    n = right.count()
-    if row_bytes is None:
-        row_bytes = 64
-    fits = n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES
+def lookup(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int | Column = 64) -> DataFrame:
+    """Join with a materialised ``right``: broadcast behind a check of its rows and bytes, else shuffled.
+
+    ``row_bytes`` is a bound of a row's bytes, or a column of them where rows have no common bound.
+    """
+    size = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)), F.lit(0)).alias("bytes")).first()
+    fits = size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if fits else right.hint("merge"), on, how)
 
 

@@ -240,10 +240,9 @@ def substring_dedup(docs: DataFrame, width: int = 13, texts: bool = False) -> Da
     """
     found = cut(repeated_intervals(docs, width))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    size = found.agg(F.max(F.lit(64) + 8 * F.size("starts")).alias("most"), F.sum(F.lit(64) + 8 * F.size("starts")).alias("all"), F.count("*").alias("n")).first()
     right = found.select(F.col("doc_id").alias("id2"), F.col("text_key").alias("key2"), "starts", "stops")
     on = rows.doc_id.eqNullSafe(right.id2) & (rows.text_key == right.key2)
-    joined = lookup(rows, right, on, "left", (size["all"] or 0) // max(1, size["n"]) + 1).select("doc_id", "text", "starts", "stops")
+    joined = lookup(rows, right, on, "left", F.lit(64) + 8 * F.size("starts")).select("doc_id", "text", "starts", "stops")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, starts array<int>, stops array<int>" * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
