@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Q
 
     rows = sorted(sample.mapInArrow(pooled, "v binary, y int, id long").collect(), key=lambda r: (r["id"], r["v"]))
     y = np.array([r["y"] for r in rows], np.float64)
-    x = np.array([np.frombuffer(r["v"], np.float32) for r in rows], np.float64).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["v"], np.float32) for r in rows], np.float64).reshape(len(rows), vectors.shape[1])
     return _train(vectors, x, y)
 
 
