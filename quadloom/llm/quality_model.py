@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Q
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     # about sample_docs rows by the threshold above
     sample = texts.join(F.broadcast(marks), "id").select("text", "y", "id")
-    sample = cut(sample.repartition(8, "id"))
+    # the coalesce bounds the tables sent to the driver, however many partitions a session gives to a keyed repartition
+    sample = cut(sample.repartition(8, "id").coalesce(8))
     vectors = _index_vectors()
     for row in sample.select("text").mapInArrow(_contexts, "total binary").collect():  # one table for each of 8 partitions
         vectors = vectors + np.frombuffer(row["total"], np.float32).reshape(SLOTS, DIM)
