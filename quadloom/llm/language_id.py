@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 WORDS = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: sampled documents of each language, and characters of each language's automaton.
 SAMPLE_DOCS, AUTOMATON_CHARS = 400, 60_000
