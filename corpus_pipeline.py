@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all documents but the first that has them."""
-    return _sized(line_dedup.line_dedup(docs).select(docs.columns))
+    return _sized(line_dedup.line_dedup(docs, grams=True).select(docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

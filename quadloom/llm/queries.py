@@ -43,7 +43,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines, removed lines and the digest of the text that stays."""
-    done = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    done = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), grams=True)
     return done.selectExpr("cast(doc_id as long) doc_id", "n_lines", "n_removed", "sha2(encode(coalesce(text, ''), 'UTF-8'), 256) kept_sha256")
 
 

@@ -173,6 +173,23 @@ def test_lines(spark):
     assert all(r.n_removed == len(t.split("\n")) - (len(r.text.split("\n")) if r.text or not r.n_removed else 0) or not r.text for r, t in ((r, dict(rows)[r.doc_id]) for r in got))
 
 
+def test_short_near_lines(spark):
+    """One word changed in lines of 7 to 15 words, which the word fingerprints leave out."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 6)))
+    rows = []
+    for k in range(60):
+        w = [word() for _ in range(7 + k % 9)]
+        rows.append((k, " ".join(w)))
+        w[rng.randrange(len(w))] = word()
+        rows.append((1000 + k, " ".join(w)))
+    near = [k for k in range(60) if edit(rows[2 * k][1], rows[2 * k + 1][1]) <= int(max(len(rows[2 * k][1]), len(rows[2 * k + 1][1])) * 0.2 + 1e-9)]
+    assert len(near) > 50
+    gone = {r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), grams=True).where("n_removed > 0").collect()}
+    assert gone <= {1000 + k for k in near}
+    assert len(gone) >= 0.9 * len(near)
+
+
 def test_wide_lines_use_wider_lanes(spark):
     """Bit counts of lines with over 127 and over 32767 words."""
     rng = random.Random(8)
