@@ -190,6 +190,29 @@ def test_short_near_lines(spark):
     assert len(gone) >= 0.9 * len(near)
 
 
+def test_long_near_lines(spark):
+    """One to four of 16 to 40 long words changed, which moves most word fingerprints by more than three bits."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9)))
+    rows = []
+    for k in range(60):
+        w = [word() for _ in range(16 + k % 25)]
+        rows.append((k, " ".join(w)))
+        for at in rng.sample(range(len(w)), 1 + k % (len(w) // 10)):
+            w[at] = word()
+        rows.append((1000 + k, " ".join(w)))
+    near = [k for k in range(60) if edit(rows[2 * k][1], rows[2 * k + 1][1]) <= int(max(len(rows[2 * k][1]), len(rows[2 * k + 1][1])) * 0.2 + 1e-9)]
+    assert len(near) > 50
+    gone = {r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), grams=True).where("n_removed > 0").collect()}
+    assert gone <= {1000 + k for k in near}
+    assert len(gone) >= 0.95 * len(near)
+
+
+def test_odd_rows_by_grams(spark, odd, empty):
+    assert line_dedup.line_dedup(odd, grams=True).count() == odd.count()
+    assert line_dedup.line_dedup(empty, grams=True).count() == 0
+
+
 def test_wide_lines_use_wider_lanes(spark):
     """Bit counts of lines with over 127 and over 32767 words."""
     rng = random.Random(8)
