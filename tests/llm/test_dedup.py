@@ -208,6 +208,14 @@ def test_long_near_lines(spark):
     assert len(gone) >= 0.95 * len(near)
 
 
+@pytest.mark.parametrize("grams", [False, True])
+def test_lines_of_scripts_without_blanks(spark, grams):
+    lines = ["本网站的全部内容版权所有未经许可不得转载", "このページの無断転載を禁じますのでご注意ください", "สงวนลิขสิทธิ์ห้ามทำซ้ำก่อนได้รับอนุญาต"]
+    rows = [(i, f"{line}\n目录\nshort line") for i, line in enumerate(lines * 2)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), grams=grams).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t if i < 3 else "目录\nshort line" for i, t in rows}
+
+
 def test_odd_rows_by_grams(spark, odd, empty):
     assert line_dedup.line_dedup(odd, grams=True).count() == odd.count()
     assert line_dedup.line_dedup(empty, grams=True).count() == 0
