@@ -117,6 +117,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = AUTOMATON_
     """Labelled text per language from a bounded sample: whole words of up to ``sample_docs`` documents (those of the smallest
     hash of their id), distinct, in their order of number of documents, up to ``chars`` characters. Words are counted by Spark.
 
+    Only the 500 languages with most labelled documents are learned; others are never predicted.
     The bounds limit what is learned from, as a fit may; predictions use whole texts of all documents.
     """
     labelled = docs.where("lang is not null and text is not null").where(fold() != 1)
