@@ -69,6 +69,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator, so that filters on its columns aren't moved below and don't work them out again."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that ``df`` reads, by the optimizer's statistics; it needs no job. Sources of unknown size count as 0."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
