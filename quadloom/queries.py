@@ -153,10 +153,10 @@ mapped(
 )
 mapped("op08_singleton", "SELECT ?x WHERE { BIND(7 AS ?x) }", "SELECT 7::BIGINT AS x")
 mapped("op09_empty", "SELECT ?x WHERE { ?n v:n_name ?x FILTER(false) }", "SELECT n_name AS x FROM nation WHERE false")
-mapped("op10_type_lookup", "SELECT ?x WHERE { ?x a v:Supplier }", "SELECT 'http://ex.org/supplier/' || s_suppkey AS x FROM supplier")
+mapped("q10_type_lookup", "SELECT ?x WHERE { ?x a v:Supplier }", "SELECT 'http://ex.org/supplier/' || s_suppkey AS x FROM supplier")
 
 
-@query("op10_type_view", "SELECT 'http://ex.org/v#Nation' AS type, count(*) AS n FROM nation UNION ALL SELECT 'http://ex.org/v#Region', count(*) FROM region")
+@query("q10_type_view", "SELECT 'http://ex.org/v#Nation' AS type, count(*) AS n FROM nation UNION ALL SELECT 'http://ex.org/v#Region', count(*) FROM region")
 def _type_view(spark, d):
     return type_view(_small(spark, d)).groupBy(F.regexp_extract("type", "^<(.*)>$", 1).alias("type")).agg(F.count("*").alias("n"))
 
