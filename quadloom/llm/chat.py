@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +32,12 @@ class MarkedTemplate:
     def unescape(self, text: str) -> str:
         return re.sub(r"\\(\\?)", r"\1", text)
 
+    def turn(self, turn: Turn) -> str:
+        role, text = turn
+        return f"<|turn {self.escape(role)}|>\n{self.escape(text)}<|end|>\n"
+
     def render(self, turns: list[Turn]) -> str:
-        return "".join(f"<|turn {self.escape(role)}|>\n{self.escape(text)}<|end|>\n" for role, text in turns)
+        return "".join(map(_rendered(self), turns))
 
     def parse(self, formatted: str) -> list[Turn]:
         """Turns read back from rendered text."""
@@ -40,6 +45,12 @@ class MarkedTemplate:
         return [(self.unescape(role), self.unescape(text)) for role, text in found]
 
 
+@lru_cache(maxsize=8)
+def _rendered(template: MarkedTemplate):
+    """The template's turns, remembered, as prefixes render them again and again."""
+    return lru_cache(maxsize=4096)(template.turn)
+
+
 @dataclass
 class Layout:
     """Where a rendered conversation has its turns (spans), and in them the turns' texts (bodies), in code points."""
@@ -54,58 +65,34 @@ def _prefix(a: str, b: str) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
-def _body(render, before: list[Turn], turn: Turn, span: str) -> tuple[int, int]:
-    """Where the turn's text lies in its span: what differs between two one-letter texts stands where texts stand."""
-    base = len(render(before)) if before else 0
-    x, y = (render([*before, (turn[0], c)])[base:] for c in "xy")
+def _body(render, before: list[Turn], start: int, turn: Turn, size: int) -> tuple[int, int]:
+    """Where the turn's text lies in its span of ``size``: what differs between two one-letter texts stands where texts stand."""
+    x, y = (render([*before, (turn[0], c)])[start:] for c in "xy")
     head = _prefix(x, y)
     tail = _prefix(x[::-1], y[::-1])
-    return head, max(head, len(span) - tail)
+    return head, max(head, size - tail)
 
 
-def layout(render, turns: list[Turn], whole_up_to: int = 32, window: int = 4) -> Layout:
-    """Render successive prefixes and compare neighbours.
+def layout(render, turns: list[Turn]) -> Layout:
+    """Render every prefix of the turns and compare neighbours.
 
     An output that does not continue the one before rewrites history: the shared part ends early, ``rewrites`` is set, and
-    spans are those by which the final output can be told apart. In conversations of more than ``whole_up_to`` turns, later
-    turns are first located among the last ``window`` turns only; if the spans so found don't add up to the whole output,
-    all prefixes are rendered in full.
+    spans are those by which the final output can be told apart. Nothing is known of a template, so all prefixes are rendered,
+    however many: the work grows with the square of a conversation's turns.
     """
-    full = render(turns)
-    n = len(turns)
-    if n > whole_up_to:
-        pieces, heads = [], []
-        for k, turn in enumerate(turns):
-            before = turns[:k] if k < window else turns[k - window : k]
-            a, b = render(before) if before else "", render([*before, turn])
-            if not b.startswith(a):
-                break
-            pieces.append(b[len(a) :])
-            heads.append(_body(render, before, turn, pieces[-1]))
-        if len(pieces) == n and "".join(pieces) == full:
-            return _placed(full, pieces, heads)
     spans, bodies, rewrites, last = [], [], False, ""
     for k, turn in enumerate(turns):
-        now = full if k == n - 1 else render(turns[: k + 1])
+        now = render(turns[: k + 1])
         shared = len(last) if now.startswith(last) else _prefix(last, now)
         rewrites |= shared < len(last)
         if spans and shared < spans[-1][1]:
             spans = [(min(a, shared), min(b, shared)) for a, b in spans]
             bodies = [(min(a, shared), min(b, shared)) for a, b in bodies]
         spans.append((shared, len(now)))
-        a, b = _body(render, turns[:k], turn, now[len(last) :]) if shared == len(last) else (0, len(now) - shared)
+        a, b = _body(render, turns[:k], shared, turn, len(now) - shared) if shared == len(last) else (0, len(now) - shared)
         bodies.append((shared + a, shared + b))
         last = now
-    return Layout(full, spans, bodies, rewrites)
-
-
-def _placed(full: str, pieces: list[str], heads: list[tuple[int, int]]) -> Layout:
-    spans, bodies, at = [], [], 0
-    for piece, (a, b) in zip(pieces, heads):
-        spans.append((at, at + len(piece)))
-        bodies.append((at + a, at + b))
-        at += len(piece)
-    return Layout(full, spans, bodies, False)
+    return Layout(last if turns else render(turns), spans, bodies, rewrites)
 
 
 def format_chat(conversations: DataFrame, template=MarkedTemplate(), learn_role: str = "assistant") -> DataFrame:
@@ -141,7 +128,10 @@ def format_chat(conversations: DataFrame, template=MarkedTemplate(), learn_role:
 
 
 def chat_digests(formatted: DataFrame, template=MarkedTemplate()) -> DataFrame:
-    """Digests of what can be read back from ``format_chat``'s output alone."""
+    """Digests of what can be read back from ``format_chat``'s output alone: each located span is parsed as one turn.
+
+    Where a template rewrites history, a span need not hold one turn; the turns are then those of the whole output.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +140,7 @@ def chat_digests(formatted: DataFrame, template=MarkedTemplate()) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                turns = template.parse(r["formatted"])
+                turns = template.parse(r["formatted"]) if r["rewrites_history"] else [t for x in r["spans"] for t in template.parse(r["formatted"][x["start"] : x["stop"]])]
                 learned = "".join(template.unescape(r["formatted"][x["start"] : x["stop"]]) for x in r["loss"])
                 digest = sha256("".join(f"{role}\n{text}\n" for role, text in turns))
                 rows.append((r["conv_id"], len(turns), digest, len(learned), sha256(learned), len(r["formatted"]), r["rewrites_history"]))
@@ -158,4 +148,4 @@ def chat_digests(formatted: DataFrame, template=MarkedTemplate()) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
-    return formatted.select("conv_id", "formatted", "loss", "rewrites_history").mapInArrow(run, schema)
+    return formatted.select("conv_id", "formatted", "spans", "loss", "rewrites_history").mapInArrow(run, schema)

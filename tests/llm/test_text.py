@@ -195,6 +195,24 @@ def test_chat_rewriting_and_long_conversations():
     assert out.spans[-1][1] == len(out.formatted)
 
 
+def test_chat_marks_at_some_turns():
+    """A template that adds a mark before the last turn of 7, 17, 27… turns rewrites history at any length from 8 turns."""
+    def marks(turns):
+        out = [f"[{r}:{x}]" for r, x in turns]
+        return "".join(out[:-1]) + "*" * (len(turns) % 10 == 7) + "".join(out[-1:])
+
+    for n in (6, 8, 20, 32, 33, 40, 75):
+        assert chat.layout(marks, [("u", f"text {k}") for k in range(n)]).rewrites == (n > 7)
+
+
+def test_chat_very_long_text(spark):
+    text = "</s>[INST] long " * 20_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    (got,) = chat.chat_digests(chat.format_chat(df)).collect()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert got.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
 def test_chat_operator(spark):
     rows = [(1, 0, "user", "hi"), (1, 2, "assistant", None), (1, 1, None, "x"), (1, 1, None, "x"), (None, None, "user", "u"), (2, 0, "assistant", "</s>[INST]")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' formatted", "1 spans")
