@@ -17,13 +17,14 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import sha256
+from .common import sha256, utf8
 
 END = "</w>"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -37,6 +38,17 @@ CACHE_WORDS = 600_000
 NEVER = 1 << 60
 
 
+# The parts of a tokenizer file that this module does itself.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def _byte_letters() -> list[str]:
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
     extra = iter(range(256, 512))
@@ -63,12 +75,17 @@ class WordBPE:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or model.get("continuing_subword_prefix"):
             raise ValueError(f"not a BPE vocabulary with word ends: {path}")
+        if (spec["normalizer"], spec["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER):
+            raise ValueError(f"another normaliser or splitter than this module's: {path}")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"special tokens with flags: {path}")
         self.path = path
         self.vocab: dict[str, int] = model["vocab"]
         self.names = {i: t for t, i in self.vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        self.mark = commonprefix([*self.added])
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks: dict[tuple[str, str], int] = {m: k for k, m in enumerate(merges)}
         inner = [t for t in self.vocab if not t.endswith(END)]
@@ -79,9 +96,9 @@ class WordBPE:
         self._split: dict[str, tuple[str, str] | None] = {}
         self._edges: dict[tuple[str, bool], list[tuple[str, int, int]]] = {}
         self._library = None
-        #: By word, or by the id of a special token: its ids, its number of tokens, and that of each of its prefixes by letters.
+        self._short: dict[int, list[int]] = {}
+        #: By word, or by the id of a special token: its ids, and the number of tokens of each of its prefixes by letters.
         self.codes: dict[str | int, tuple[int, ...]] = {}
-        self.totals: dict[str | int, int] = {}
         self.prefixes: dict[str | int, list[int]] = {}
 
     def split_of(self, token: str) -> tuple[str, str] | None:
@@ -168,15 +185,16 @@ class WordBPE:
         return found
 
     def learn(self, store: dict, found: Iterable[str | int]) -> None:
-        """Fill ``store``, one of the three above, for the words of ``found`` that it lacks.
+        """Fill ``store``, one of the two above, for the words of ``found`` that it lacks.
 
         Sorted order is the depth-first order of the words' trie; the stack holds the states of the path from the root.
         """
-        if len(store) > CACHE_WORDS:
+        found = set(found)
+        if len(store) > CACHE_WORDS and not store.keys() >= found:
             store.clear()
         for i in self.added.values():
-            store[i] = (i,) if store is self.codes else 1 if store is self.totals else [1]
-        counts, deep = store is not self.codes, store is self.prefixes
+            store[i] = (i,) if store is self.codes else [1]
+        deep = store is self.prefixes
         new = sorted([(letters(w), w) for w in found if w not in store])
         last, inner_count, ended, nodes = [""], [0], [0], [self._nodes[""]]
         path = ""
@@ -211,16 +229,13 @@ class WordBPE:
                     ended.append(inner_count[n - choose(node[2], n)[1]] + 1)
                 token, size = choose(node[1], n)
                 last.append(token)
-                if counts:
+                if deep:
                     inner_count.append(inner_count[n - size] + 1)
             if deep:
                 store[raw] = ended[1:]
             else:
                 n, letter = len(word), word[-1]
                 token, size = choose((node[0].get(letter) or move(node, letter))[2], n)
-                if counts:
-                    store[raw] = inner_count[n - size] + 1
-                    continue
                 code = [vocab[token]]
                 n -= size
                 while n:
@@ -231,7 +246,7 @@ class WordBPE:
 
     def pieces(self, text: str) -> list[str | int]:
         """Pre-tokens of a text in order; an int is the id of a special token's string, which the library takes as that token."""
-        if self.special is not None and "<|" in text and self.special.search(text):
+        if self.special is not None and self.mark in text and self.special.search(text):
             out: list[str | int] = []
             for part in self.special.split(text):
                 out += [self.added[part]] if part in self.added else self.pieces_of_plain(part)
@@ -266,15 +281,39 @@ class WordBPE:
         names = self.names
         return " ".join([names[i] for i in ids if i in names])
 
+    def steps(self, piece: str | int) -> list[int]:
+        """The token count at every prefix of a learned piece, in bytes, when a text is cut there."""
+        if type(piece) is int:  # cut short, a special token's string is ordinary text
+            if piece not in self._short:
+                name = self.names[piece]
+                table = PrefixTable(self, self.pieces_of_plain(name))
+                self._short[piece] = [*map(table.count, range(1, len(utf8(name)))), 1]
+            return self._short[piece]
+        self.learn(self.prefixes, {piece})
+        found = self.prefixes[piece]
+        if piece in ("'re", "'ve", "'ll"):  # cut short, this piece is a mark and a letter
+            self.learn(self.prefixes, {"'", piece[1]})
+            return [found[0], self.prefixes["'"][-1] + self.prefixes[piece[1]][-1], found[-1]]
+        return found
+
     def prefix_table(self, text: str | None) -> PrefixTable:
         return PrefixTable(self, self.pieces(text) if text else [])
 
     def count_batch(self, texts: list[str | None]) -> list[int]:
-        """Token counts of whole texts: the last entries of their prefix tables, whose other entries aren't kept."""
+        """Token counts of whole texts: the last entries of their pieces' prefix counts, added up."""
+        return [n for n, _ in self.cut_batch(texts, None)]
+
+    def cut_batch(self, texts: list[str | None], budget: int | None) -> list[tuple[int, int]]:
+        """Of each whole text, its token count and its longest prefix within ``budget``, in bytes as PrefixTable counts them."""
         split = [self.pieces(t) if t else [] for t in texts]
-        self.learn(self.totals, set().union(*split))
-        total = self.totals.__getitem__
-        return [sum(map(total, ps)) for ps in split]
+        self.learn(self.prefixes, set().union(*split))
+        of = self.prefixes
+        totals = [sum([of[w][-1] for w in pieces]) for pieces in split]
+        if budget is None:
+            return [(n, 0) for n in totals]
+        sizes = [sum([len(self.names[w] if type(w) is int else of[w]) for w in pieces]) for pieces in split]
+        # after the others, as a table may learn again and forget what this batch learned
+        return [(n, size if n <= budget else PrefixTable(self, pieces).cut(budget)) for n, size, pieces in zip(totals, sizes, split)]
 
 
 class PrefixTable:
@@ -286,26 +325,29 @@ class PrefixTable:
 
     def __init__(self, bpe: WordBPE, pieces: list[str | int]):
         bpe.learn(bpe.prefixes, set(pieces))
-        self.tokens, self.bytes, self._at = [0], [0], []
-        for w in pieces:
-            steps = bpe.prefixes[w]
-            if type(w) is not str:  # cut short, a special token's string is ordinary text
-                name = bpe.names[w]
-                steps = [*(bpe.count_batch([name[:k]])[0] for k in range(1, len(name))), 1]
-            elif w in ("'re", "'ve", "'ll"):  # cut short, this piece is a mark and a letter
-                steps = [steps[0], sum(bpe.count_batch(["'", w[1]])), steps[-1]]
-            self._at.append(steps)
-            self.tokens.append(self.tokens[-1] + steps[-1])
-            self.bytes.append(self.bytes[-1] + len(steps))
+        of = bpe.prefixes
+        self.bpe, self.pieces = bpe, pieces
+        self.tokens = [0, *accumulate([of[w][-1] for w in pieces])]
+        self.bytes = [0, *accumulate([len(bpe.names[w] if type(w) is int else of[w]) for w in pieces])]
 
     def count(self, k: int) -> int:
         i = min(bisect_right(self.bytes, max(0, k)) - 1, len(self.bytes) - 1)
         inside = k - self.bytes[i]
-        return self.tokens[i] + (self._at[i][inside - 1] if 0 < inside and i < len(self._at) else 0)
+        return self.tokens[i] + (self.bpe.steps(self.pieces[i])[inside - 1] if 0 < inside and i < len(self.pieces) else 0)
 
     def cut(self, budget: int) -> int:
-        """The largest number of whole pieces' bytes whose count is within ``budget``."""
+        """The largest number of bytes, of whole characters, whose count is within ``budget``.
+
+        Whole pieces' counts grow, so the cut lies in the first piece that does not fit; in it, a longer prefix may need fewer
+        tokens than a shorter one, so its places are tried from the end.
+        """
         i = bisect_right(self.tokens, max(0, budget)) - 1
+        if i < len(self.pieces) and budget > self.tokens[i]:
+            piece = self.pieces[i]
+            raw, steps = utf8(self.bpe.names[piece] if type(piece) is int else piece), self.bpe.steps(piece)
+            for k in range(len(raw) - 1, 0, -1):
+                if steps[k - 1] <= budget - self.tokens[i] and raw[k] & 0xC0 != 0x80:
+                    return self.bytes[i] + k
         return self.bytes[i]
 
 
@@ -353,8 +395,9 @@ def little(ids: list[int]) -> bytes:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every whole text, by prefix counts; one narrow pass.
+    """doc_id, n_bytes, n_tokens, over_limit and cut_bytes of every whole text, by prefix counts; one narrow pass.
 
+    ``cut_bytes`` is the longest prefix of at most ``limit`` tokens, in bytes of the normalised text without white space.
     Nulls: a null text is empty (0 bytes, 0 tokens); a null doc_id is returned. Repeated rows give repeated results.
     """
 
@@ -364,10 +407,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = batch.column(1).to_pylist()
-                n = bpe.count_batch(texts)
+                n, cuts = zip(*bpe.cut_batch(texts, limit)) if texts else ((), ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                    [batch.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cuts, pa.int64())],
+                    names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")

@@ -1,6 +1,7 @@
 """Quality rules, decontamination, encoding, chat, models."""
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -147,10 +148,32 @@ def test_prefix_counts(coder, library):
             assert table.count(at + n) == len(library.encode(part, add_special_tokens=False).ids), part
         at += len(piece)
     for budget in range(table.tokens[-1] + 2):
-        assert table.count(table.cut(budget)) <= budget
+        assert table.cut(budget) == max(k for k in range(table.bytes[-1] + 1) if table.count(k) <= budget)
     assert table.cut(10**6) == table.bytes[-1]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([p for p in PARTS if p not in ("\u200d", "e\u0301")] + ["unbelievably", "they're", "ünïcödé"]), max_size=8).map("".join))
+def test_cuts_are_longest(coder, text):
+    """The longest prefix, of whole characters, for every budget."""
+    table = coder.prefix_table(text)
+    raw = b"".join((coder.names[p] if isinstance(p, int) else p).encode("utf-8", "surrogatepass") for p in coder.pieces(text))
+    ends = [k for k in range(len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80]
+    assert table.bytes[-1] == len(raw)
+    for budget in range(table.tokens[-1] + 2):
+        assert table.cut(budget) == max(k for k in ends if table.count(k) <= budget)
+        n = table.tokens[-1]
+        assert coder.cut_batch([text, text], budget) == [(n, table.cut(budget))] * 2
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    for part in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | part), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.WordBPE(str(tmp_path / "v.json"))
+
+
 def test_encoding_operators(spark, odd, empty, library):
     docs = spark.createDataFrame([*corpus(), (900, None)], "doc_id long, text string")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
