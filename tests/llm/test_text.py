@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 
 import public_tokenizers
@@ -269,6 +270,45 @@ def _languages(n=160):
     return [(k, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 80))), lang) for k in range(n) for lang in [rng.choice(list(parts))]]
 
 
+def brute_phrases(learned, probe, segment):
+    """Greedy parse by searching the learned text for every longer piece."""
+    n = 0
+    for at in range(0, len(probe), segment):
+        part, k = probe[at : at + segment], 0
+        while k < len(part):
+            size = 1
+            while k + size < len(part) and part[k : k + size + 1] in learned:
+                size += 1
+            n, k = n + 1, k + size
+    return n
+
+
+@pytest.mark.parametrize("segment", [7, 4096])
+def test_cross_parsing(monkeypatch, segment):
+    """Predictions and scores by brute force; more letters than codes, so that some share one."""
+    monkeypatch.setattr(language_id, "SEGMENT", segment)
+    rng = random.Random(5)
+    many = "".join(chr(0x4E00 + k) for k in range(80))
+    words = {"aa": ["ka", "lo", "mi"], "bb": ["lo", "un", "ber"], "cc": list(many)}
+    write = lambda lang, n: " ".join("".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    texts = {lang: write(lang, 60) for lang in words}
+    parser = language_id.CrossParser(texts)
+    probes = [write(rng.choice(list(words)), rng.randint(1, 40)) + rng.choice(["", "!! 12 xyz", " Ä"]) for _ in range(40)]
+    got = parser.predict_batch([*probes, None, "", "12 !"])
+    assert got[40:] == [("und", 0.0)] * 3
+    string = lambda t: "".join(map(chr, parser.code(t)))
+    for t, (lang, score) in zip(probes, got):
+        coded = string(t)
+        rates = sorted((brute_phrases(string(x), coded, segment) * math.log2(len(string(x))) / len(coded), k) for k, x in texts.items())
+        assert lang == rates[0][1] and score == pytest.approx(rates[1][0] / (rates[0][0] + rates[1][0]))
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(k, f"words of language number {chr(97 + k % 26) * 3} {chr(97 + k // 26 % 26) * 4}", f"l{k % 700:03}") for k in range(4200)]
+    texts = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(texts) > 690 and sum(map(len, texts.values())) <= language_id.ALL_CHARS
+
+
 def test_language_identification(spark, odd, empty):
     rows = [*_languages(), (900, None, "aa"), (901, "123 !!", "bb"), (902, "ka lo", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
