@@ -49,8 +49,9 @@ def _sum_or_avg(fn: str, distinct: bool, arg: Val) -> Val:
         return Val(DOUBLE, F.coalesce(total(arg.col), F.lit(0.0)) if fn == "sum" else mean(arg.col))
     if k.tag == "integer":
         if fn == "sum":
-            exact = total(arg.col) if distinct else F.try_sum(arg.col)
-            return Val(INTEGER, F.coalesce(exact, F.lit(0).cast("bigint")))
+            # exact in 38 digits; a sum beyond 64 bits is unbound, as columns of integers have no more
+            exact = total(arg.col.cast("decimal(28,0)"))
+            return Val(INTEGER, F.when(F.count(arg.col) == 0, F.lit(0).cast("bigint")).otherwise(exact.try_cast("bigint")))
         return Val(DECIMAL, mean(arg.col.cast("decimal(20,0)")).try_cast("decimal(38,18)"))
     if k.tag == "decimal":
         c = arg.col
@@ -64,9 +65,10 @@ def _sum_or_avg(fn: str, distinct: bool, arg: Val) -> Val:
     integers = F.coalesce(F.min(T.integer_col(t).isNotNull() | double.isNull()), F.lit(True))
     n = F.count(exact)
     sums = total(exact)
+    whole = (F.sum_distinct if distinct else F.try_sum)(T.integer_col(t))
     if fn == "sum":
         value = F.when(F.coalesce(inexact, F.lit(False)), V.typed(T.double_text(total(double)), "double")).when(
-            integers, V.typed(T.decimal_text(F.coalesce(sums, F.lit(0).cast("decimal(38,18)"))), "integer")
+            integers, V.typed(F.when(F.count(T.integer_col(t)) == 0, F.lit("0")).otherwise(whole.cast("string")), "integer")
         )
         return Val(TERM, value.otherwise(V.typed(T.decimal_text(sums), "decimal")))
     average = F.try_divide(sums.try_cast("decimal(30,10)"), (F.countDistinct(exact) if distinct else n).try_cast("decimal(18,0)"))

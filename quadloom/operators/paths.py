@@ -19,6 +19,8 @@ from ..runtime import cut
 from . import joins
 
 S, O, M = "_s", "_o", "_m"
+#: Rounds whose pairs are kept apart before they are put together.
+PARTS = 8
 
 
 class PathCompiler:
@@ -83,17 +85,23 @@ class PathCompiler:
         backwards = start is None and end is not None
         a, b = (O, S) if backwards else (S, O)
         bound = end if backwards else start
-        seen = edges if bound is None else cut(edges.where(V.is_term(V.Val(step.kinds[a], F.col(a)), bound)))
-        frontier = seen
+        frontier = edges if bound is None else cut(edges.where(V.is_term(V.Val(step.kinds[a], F.col(a)), bound)))
         hop = edges.select(F.col(a).alias(M), F.col(b).alias("_next"), *self.extra)
+        parts, pairs = [frontier], frontier.count()
         while True:
             reached = frontier.withColumnRenamed(b, M).join(hop, [M, *self.extra]).select(F.col(a), F.col("_next").alias(b), *self.extra).distinct()
+            seen = reduce(lambda x, y: x.unionByName(y), parts)
             frontier = cut(reached.join(seen, [a, b, *self.extra], "left_anti").select(*names))
-            if frontier.isEmpty():
+            new = frontier.count()
+            if not new:
                 break
-            seen = cut(seen.unionByName(frontier))
-            if self.cap and seen.count() > self.cap:
+            pairs += new
+            if self.cap and pairs > self.cap:
                 raise LimitExceeded(f"a path closure has more than {self.cap} pairs; bind an endpoint or raise the cap")
+            parts.append(frontier)
+            if len(parts) > PARTS:  # few parts, each pair written about once in PARTS rounds
+                parts = [cut(reduce(lambda x, y: x.unionByName(y), parts))]
+        seen = reduce(lambda x, y: x.unionByName(y), parts)
         return Rel(seen, {v: step.kinds[v] for v in names}, frozenset(names))
 
     def solve(self, s: str, path: tuple, o: str) -> Rel:
@@ -129,7 +137,8 @@ class PathCompiler:
         spark = self.source.spark
         same = [] if start and end and start != end else [(term, term)]
         zero = Rel(spark.createDataFrame(same, f"{S} string, {O} string"), {S: TERM, O: TERM}, frozenset({S, O}))
-        if self.extra:
-            return found
+        if self.extra:  # the path of no steps is in every graph
+            names = self._distinct(self.edges("?_a", "?_b", "?_c").only(self.extra))
+            zero = joins.join(zero, names)
         a, b = unify(found, zero)
         return self._distinct(joins.union(a, b))

@@ -64,7 +64,7 @@ def edges(spark: SparkSession, rows: DataFrame, predicate: str) -> DataFrame:
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
     """part k -> part k/2: a tree of logarithmic depth."""
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey >= 2 and p_partkey < 2000")
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey >= 2")
     return edges(spark, p.selectExpr("p_partkey src", "p_partkey div 2 dst"), "up")
 
 
@@ -78,7 +78,7 @@ def stored(name: str, build: Callable[[SparkSession, str], DataFrame], sparql: s
     ORACLES[name] = sql
 
 
-_TREE = "SELECT p_partkey src, p_partkey // 2 dst FROM part WHERE p_partkey >= 2 AND p_partkey < 2000"
+_TREE = "SELECT p_partkey src, p_partkey // 2 dst FROM part WHERE p_partkey >= 2"
 _RING = "SELECT n_nationkey src, (n_nationkey + 1) % 25 dst FROM nation"
 _NODE = "'http://ex.org/node/' || "
 
@@ -274,6 +274,18 @@ mapped(
     "SELECT count(*) AS n FROM (SELECT DISTINCT lang, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
 )
 mapped("op49_sum_integers", "SELECT (SUM(?s) AS ?t) WHERE { ?p v:p_size ?s }", "SELECT sum(p_size)::BIGINT AS t FROM part")
+
+
+def _large(spark: SparkSession, d: str) -> DataFrame:
+    """Integers of 22 digits: more than 64 bits hold."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("9"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 21, "0")).alias("v"))
+    return p.select(F.format_string(f"<{BASE}part/%d>", "p_partkey").alias("s"), F.lit(f"<{VOCAB}large>").alias("p"), F.format_string(f'"%s"^^<{T.XSD}integer>', "v").alias("o"), F.lit(T.DEFAULT_GRAPH).alias("c"))
+
+
+_LARGE = "(SELECT 9::HUGEINT * 1000000000000000000000::HUGEINT + p_partkey % 1000 AS v FROM part)"
+for _name, _distinct in (("op49_sum_beyond_64_bits", ""), ("op50_sum_distinct_beyond_64_bits", "DISTINCT ")):
+    QUERIES[_name] = lambda spark, d, q=_distinct: Engine(QuadSource(_large(spark, d), one_graph=True), prefixes=PREFIXES).query(f"SELECT (SUM({q}?v) AS ?t) WHERE {{ ?x v:large ?v }}").native()
+    ORACLES[_name] = f"SELECT sum({_distinct}v)::VARCHAR AS t FROM {_LARGE}"
 mapped("op50_sum_distinct", "SELECT (SUM(DISTINCT ?s) AS ?t) (AVG(DISTINCT ?s) AS ?a) WHERE { ?p v:p_size ?s }", "SELECT sum(DISTINCT p_size)::BIGINT AS t, avg(DISTINCT p_size) AS a FROM part")
 QUERIES["op50_sum_distinct"] = lambda spark, d: _rounded(engine(spark, d).query("SELECT (SUM(DISTINCT ?s) AS ?t) (AVG(DISTINCT ?s) AS ?a) WHERE { ?p v:p_size ?s }").native(), "a")
 ORACLES["op50_sum_distinct"] = "SELECT sum(DISTINCT p_size)::BIGINT AS t, round(avg(DISTINCT p_size), 2) AS a FROM part"
@@ -318,6 +330,17 @@ stored(
 stored("op71_repeated_path_var", ring, "SELECT ?x WHERE { ?x v:next+ ?x }", f"SELECT {_NODE} n_nationkey AS x FROM nation")
 
 
+def _zero(name: str, path: str) -> None:
+    @query(name, "SELECT 'http://ex.org/g/' || g AS g, count(*) AS n FROM nation, (VALUES ('nations'), ('regions'), ('copy')) t(g) WHERE n_nationkey = 1 GROUP BY 1")
+    def run(spark, d):
+        """The path of no steps is in every named graph."""
+        return Engine(QuadSource(_graphs(spark, d)), prefixes=PREFIXES).query(f"SELECT ?g (COUNT(?y) AS ?n) WHERE {{ GRAPH ?g {{ <http://ex.org/elsewhere> v:next{path} ?y }} }} GROUP BY ?g").native()
+
+
+_zero("op67_star_in_graphs", "*")
+_zero("op68_optional_step_in_graphs", "?")
+
+
 @query("op73_path_in_graph", f"SELECT {_NODE} b.n_nationkey AS y FROM nation b")
 def _path_in_graph(spark, d):
     g = ring(spark, d).withColumn("c", F.lit(f"<{BASE}g/ring>"))
