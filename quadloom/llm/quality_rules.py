@@ -15,9 +15,11 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 SEPARATOR = re.compile(r"[|>\xBB\xB7•]+")
 #: A word with a run of two or more shouting or symbol marks at its end (after an optional sentence mark).
 SHOUT = re.compile(r"[^\x20\x09-\x0D]*(?:!!|[#*$%&]{2})[.,]?")
+#: Whole phrases, in lines of up to BOILERPLATE_WORDS words, of which they are a substantial part.
+BOILERPLATE_WORDS = 30
 BOILERPLATE = re.compile(
-    r"licensed under|all rights reserved|copyright \(c\)|permission is hereby granted|terms of (?:use|service)|privacy policy"
-    r"|accept (?:all )?cookies|without warranties or conditions|click here|sign in|log in to"
+    r"(?:^|[^a-z])(?:licensed under|all rights reserved|copyright \(c\)|permission is hereby granted|terms of (?:use|service)|privacy policy"
+    r"|accept (?:all )?cookies|without warranties or conditions|click here|sign in|log in to)(?:[^a-z]|$)"
 )
 BREAK = re.compile(r"\n")
 
@@ -36,7 +38,7 @@ def line_fails(line: str, found: list[str], max_marked: float = 0.3, max_separat
         return True
     if ("!!" in line or SYMBOL.search(line)) and sum(1 for w in found if SHOUT.fullmatch(w)) > max_marked * n:
         return True
-    return bool(BOILERPLATE.search(line.translate(_LOWER)))
+    return n <= BOILERPLATE_WORDS and bool(BOILERPLATE.search(line.translate(_LOWER)))
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}

@@ -98,8 +98,8 @@ WITH d AS (
     len(w) > 0 AND (
       len(list_filter(w, lambda x: regexp_full_match(x, '[|>\x{{BB}}\x{{B7}}\x{{2022}}]+'))) > 0.2::DOUBLE * len(w)
       OR len(list_filter(w, lambda x: regexp_full_match(x, '[^\x20\x09-\x0D]*(?:!!|[#*$%&][#*$%&])[.,]?'))) > 0.3::DOUBLE * len(w)
-      OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        'licensed under|all rights reserved|copyright \(c\)|permission is hereby granted|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|without warranties or conditions|click here|sign in|log in to')
+      OR len(w) <= 30 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '(?:^|[^a-z])(?:licensed under|all rights reserved|copyright \(c\)|permission is hereby granted|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|without warranties or conditions|click here|sign in|log in to)(?:[^a-z]|$)')
     ) AS failed,
     len(w) > 0 AND row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 AS dup
   FROM m

@@ -59,6 +59,13 @@ def test_line_verdicts():
     assert quality_rules.judge(noisy)[1][5:7] == (False, False)
 
 
+def test_boilerplate_is_whole_phrases_in_short_lines():
+    fails = lambda line: quality_rules.line_fails(line, words(line))
+    assert fails("Please SIGN IN to continue.") and fails("sign in") and fails("(Sign in)")
+    assert not fails("They assign in turn what the design in question asks for.") and not fails("A blog in town")
+    assert not fails("Before the vote, members sign in at the desk, " + "and then they take their seats in the hall " * 4)
+
+
 # ---- decontamination
 
 BENCH = [
