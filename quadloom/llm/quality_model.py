@@ -20,6 +20,8 @@ TOKEN = re.compile(r"\w+|!+|#+|\$+|%+|&+|\*+|\|+|\.+|,+|-+|[^\w\s]")
 #: Bounds of the fit and of the model: sampled labelled documents, word slots (words share slots by hash), dimensions, context.
 SAMPLE_DOCS, SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 12_000, 1 << 14, 96, 6, 2, 32
 CACHE_TOKENS = 500_000
+#: Labelled rows below which, or with labels of one kind, no network is fitted and every score is the labels' smoothed rate.
+LEAST_LABELS = 20
 
 
 def _index_entries(slots: int = SLOTS, dim: int = DIM, nonzero: int = NONZERO) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Q
 
 def _train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = 60) -> QualityModel:
     none = np.zeros((1, 1))
-    if len(y) < 20 or len(set(y)) < 2:
+    if len(y) < LEAST_LABELS or len(set(y)) < 2:
         return QualityModel(vectors, none, none, none, none, none, 0.0, 1.0, constant=float((y.sum() + 1) / (len(y) + 2)))
     rng = np.random.default_rng(7)
     order = rng.permutation(len(y))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lookup, utf8
+from .common import components, cut, fresh, lookup, utf8
 
 #: Fingerprints of one block of a tile, on average at most.
 BLOCK = 2048
@@ -158,4 +158,5 @@ def keep_representatives(docs: DataFrame, radius: int = 2, shingle: int = 3) ->
     if repeated.isEmpty():
         return rows
     # rows of equal doc_id and text: one stays
-    return rows.withColumn("_tk", F.xxhash64("text")).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
+    (key,) = fresh(docs, "text_key")
+    return rows.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)

@@ -81,6 +81,11 @@ def test_representatives(spark):
     assert kept == sorted({c for _, _, c in brute_groups(list(set(rows)))})
 
 
+def test_representatives_keep_columns_with_inner_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", 7)] * 2, "doc_id long, text string, _tk string, _id long").selectExpr("*", "'k' text_key")
+    assert [tuple(r) for r in simhash_docs.keep_representatives(df).collect()] == [(1, "a b c d", "x", 7, "k")]
+
+
 def brute_passages(rows, width=13):
     first = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
