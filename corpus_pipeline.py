@@ -5,13 +5,13 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import bpe, decontaminate, line_dedup, quality_rules, simhash_docs
+from quadloom.llm.common import shared_folder
 from quadloom.llm.queries import vocabulary
 
 
@@ -53,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, through Parquet in the shared checkpoint folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    top = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
