@@ -7,7 +7,8 @@ import time
 from collections import Counter, deque
 from contextlib import contextmanager
 
-BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+# Upper bounds in seconds.
+BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
 
 class Metrics:

@@ -58,8 +58,8 @@ class Compiler:
             case A.Extend(sub, v, e):
                 rel, e = self.lifted(self.run(sub, graph), e, graph)
                 return self._drop_flags(self.extended(rel, v, compile_expr(e, rel.scope())))
-            case A.Decompose(sub, v, parts):
-                return self.decomposed(self.run(sub, graph), v, parts)
+            case A.Decompose():
+                return self.decompose(n, graph)
             case A.Graph(g, sub):
                 return self.run(sub, ("var", g[1:]) if A.is_var(g) else ("const", g))
             case A.Group(sub, keys, aggs):
@@ -194,21 +194,59 @@ class Compiler:
     def extended(self, rel: Rel, var: str, v: Val) -> Rel:
         return Rel(rel.df.withColumn(var, v.col), {**{k: x for k, x in rel.kinds.items() if k != var}, var: v.kind}, rel.certain)
 
+    def decompose(self, n: A.Node, graph: tuple) -> Rel:
+        """Take triple terms apart where their pattern is scanned, so that variables in their parts are join keys."""
+        steps = []
+        while isinstance(n, A.Decompose):
+            steps.append((n.var, n.parts))
+            n = n.sub
+        parts: list[A.Node] = []
+
+        def flatten(x: A.Node) -> None:
+            if isinstance(x, A.Join):
+                flatten(x.left)
+                flatten(x.right)
+            elif not isinstance(x, A.Unit):
+                parts.append(x)
+
+        flatten(n)
+        if not parts or not all(isinstance(p, (A.BGP, A.Values, A.PathPattern)) for p in parts):
+            parts = [n]
+        rels: list[Rel] = []
+        for p in parts:
+            rels += self.source.bgp(p.patterns, graph, self.unneeded) if isinstance(p, A.BGP) and p.patterns else [self.run(p, graph)]
+        for v, of in reversed(steps):
+            k = next(k for k, r in enumerate(rels) if v in r.kinds)
+            rels[k] = self.decomposed(rels[k], v, of)
+        return self.join_all(rels)
+
     def decomposed(self, rel: Rel, var: str, parts: tuple) -> Rel:
         """Match the parts of the triple term in ``var`` with constants, bound variables or new ones."""
         rel = rel.converted({var: TERM})
         t = rel.val(var).col
         rel = rel.where(T.is_triple_col(t))
-        for k, x in enumerate(parts, 1):
-            part = T.part_col(t, k)
+        # cheap conditions that reach the scan; the parts themselves are compared below
+        for k, x in enumerate(parts):
+            if not A.is_var(x):
+                rel = rel.where([F.startswith(t, F.lit(f"<< {x} ")), F.contains(t, F.lit(f" {x} ")), F.endswith(t, F.lit(f" {x} >>"))][k])
+        names = [fresh("part") for _ in parts]
+        whole = T.parts_col(t)
+        # a generator: what is asked of the parts later isn't answered by splitting the term anew each time
+        split = F.inline(F.filter(F.array(whole), lambda x: x.isNotNull())).alias(*names)
+        df = rel.df.select(*[F.col(f"`{v}`") for v in rel.vars], split)
+        kinds = dict(rel.kinds)
+        certain = set(rel.certain)
+        for name, x in zip(names, parts):
+            part = F.col(name)
             if not A.is_var(x):
-                rel = rel.where(part == x)
-            elif x[1:] in rel.kinds:
-                rel = rel.where(V.term(rel.val(x[1:])) == part)
+                df = df.where(part == x)
+            elif x[1:] in kinds:
+                df = df.where(V.term(Val(kinds[x[1:]], F.col(f"`{x[1:]}`"))) == part)
             else:
-                rel = self.extended(rel, x[1:], Val(TERM, part)).where(F.col(f"`{x[1:]}`").isNotNull())
-                rel.certain |= {x[1:]}
-        return rel
+                df = df.withColumn(x[1:], part)
+                kinds[x[1:]] = TERM
+                certain.add(x[1:])
+        return Rel(df.select(*[F.col(f"`{v}`") for v in kinds]), kinds, frozenset(certain))
 
     # -- grouping and order
 

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from . import terms as T
 from .engine import Engine
+from .errors import LimitExceeded
 from .functions import values as V
 from .operators import joins
 from .plans.algebra import Pattern
+from .runtime import new_path
 from .schema import V as VOCAB
 from .schema import tpch_source
 from .sources.mapping import BASE, MappedSource
 from .sources.quads import QuadSource
-from .store import batch_lookup, find, type_view
+from .sources import rdf_files, writers
+from .store import Store, batch_lookup, find, type_view
 from .streaming import oplog
 
 PREFIXES = {"v": VOCAB, "": BASE, "xsd": T.XSD, "rdf": T.RDF}
@@ -379,6 +382,233 @@ stored("op75_shared_variable", _annotated, "SELECT ?o ?w WHERE { ?o v:status 'F'
 stored("op76_annotation", _annotated, "SELECT (COUNT(*) AS ?n) WHERE { ?o v:status ?s {| v:saidBy ?w |} }", "SELECT count(*) AS n FROM orders")
 stored("op77_triple_terms", _annotated, "SELECT (COUNT(DISTINCT ?t) AS ?n) WHERE { ?t v:confidence ?c FILTER(isTRIPLE(?t) && PREDICATE(?t) = v:status) }", "SELECT count(*) AS n FROM orders")
 
+# ---- index cases, files, result formats, typing of results
+
+
+_CASES = {"spo": "1", "sp": "1", "so": "1", "po": "(SELECT count(*) FROM nation WHERE n_regionkey = 3)", "s": "3", "p": "(SELECT count(*) FROM nation)", "o": "(SELECT count(*) FROM nation WHERE n_regionkey = 3)", "all": "(SELECT 3 * count(*) FROM nation) + (SELECT 2 * count(*) FROM region)"}
+
+
+@query("op02_index_cases", " UNION ALL ".join(f"SELECT '{k}' AS bound, ({n})::BIGINT AS n" for k, n in _CASES.items()))
+def _index_cases(spark, d):
+    """Every choice of bound subject, predicate and object."""
+    source = QuadSource(_small(spark, d), one_graph=True)
+    term = {"s": _S, "p": _P, "o": _O}
+    out = []
+    for case in _CASES:
+        p = Pattern(*(term[k] if k in case and case != "all" else f"?{k}" for k in "spo"))
+        found = source.scan(p, ("default", None)).df
+        out.append(found.agg(F.lit(case).alias("bound"), F.count(F.lit(1)).alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    """Terms as text: IRIs without brackets, literals by their lexical form."""
+    return df.select(*[V.native(V.Val(V.TERM, F.col(c))).alias(c) for c in columns])
+
+
+@query("op17_ntriples", _NQ)
+def _ntriples(spark, d):
+    """Written as N-Triples and read back."""
+    path = new_path(spark, "ntriples")
+    rdf_files.write_ntriples(_small(spark, d).select("s", "p", "o"), path)
+    return _plain(rdf_files.read_nquads(spark, path), "s", "p", "o")
+
+
+@query("op18_nquads", "SELECT s, p, o, 'http://ex.org/g/nations' AS c FROM (" + _NQ + ") WHERE s LIKE '%nation/%' UNION ALL SELECT s, p, o, g FROM (" + _NQ + ") CROSS JOIN (VALUES ('http://ex.org/g/regions'), ('http://ex.org/g/copy'), ('urn-less:default')) AS x(g) WHERE s LIKE '%region/%'")
+def _nquads(spark, d):
+    path = new_path(spark, "nquads")
+    rdf_files.write_nquads(_graphs(spark, d), path)
+    return _plain(rdf_files.read_nquads(spark, path), "s", "p", "o", "c")
+
+
+@query("op18_turtle", _NQ)
+def _turtle(spark, d):
+    """Written as Turtle and parsed again."""
+    text = "".join(writers.graph_turtle(_small(spark, d)))
+    return _plain(spark.createDataFrame(rdf_files.parse_turtle(text), "s string, p string, o string, c string"), "s", "p", "o")
+
+
+def _written(name: str, sparql: str, writer, sql: str) -> None:
+    """The lines of a written result."""
+
+    @query(name, sql)
+    def run(spark, d):
+        result = Engine(QuadSource(_small(spark, d), one_graph=True), prefixes=PREFIXES).query(sparql)
+        text = writer(result.native().first()[0]) if result.form == "ask" else writer(result.terms())
+        return spark.createDataFrame([(line,) for line in "".join(text).splitlines()], "line string")
+
+
+_NAMES = "SELECT ?r ?name WHERE { ?r v:r_name ?name } ORDER BY ?r"
+_BY_KEY = "string_agg({0}, '{1}' ORDER BY r_regionkey) FROM region"
+_written("op19_select_csv", _NAMES, writers.select_csv, "SELECT 'r,name' AS line UNION ALL SELECT 'http://ex.org/region/' || r_regionkey || ',' || r_name FROM region")
+_written("op19_select_tsv", _NAMES, writers.select_tsv, "SELECT '?r' || chr(9) || '?name' AS line UNION ALL SELECT '<http://ex.org/region/' || r_regionkey || '>' || chr(9) || '\"' || r_name || '\"' FROM region")
+_written(
+    "op19_select_json", _NAMES, writers.select_json,
+    "SELECT '{\"head\":{\"vars\":[\"r\", \"name\"]},\"results\":{\"bindings\":[' || (SELECT "
+    + _BY_KEY.format("'{\"r\": {\"type\": \"uri\", \"value\": \"http://ex.org/region/' || r_regionkey || '\"}, \"name\": {\"type\": \"literal\", \"value\": \"' || r_name || '\"}}'", ",") + ") || ']}}' AS line",
+)
+_written(
+    "op19_select_xml", _NAMES, writers.select_xml,
+    "SELECT '<?xml version=\"1.0\"?>' AS line UNION ALL SELECT '<sparql xmlns=\"http://www.w3.org/2005/sparql-results#\"><head><variable name=\"r\"/><variable name=\"name\"/></head><results>' || (SELECT "
+    + _BY_KEY.format("'<result><binding name=\"r\"><uri>http://ex.org/region/' || r_regionkey || '</uri></binding><binding name=\"name\"><literal>' || r_name || '</literal></binding></result>'", "") + ") || '</results></sparql>'",
+)
+_written("op20_ask_json", "ASK { ?r v:r_name 'ASIA' }", writers.ask_json, "SELECT '{\"head\": {}, \"boolean\": ' || (CASE WHEN count(*) > 0 THEN 'true' ELSE 'false' END) || '}' AS line FROM region WHERE r_name = 'ASIA'")
+_written("op20_ask_xml", "ASK { ?r v:r_name 'NOWHERE' }", writers.ask_xml, "SELECT '<?xml version=\"1.0\"?>' AS line UNION ALL SELECT '<sparql xmlns=\"http://www.w3.org/2005/sparql-results#\"><head/><boolean>' || (CASE WHEN count(*) > 0 THEN 'true' ELSE 'false' END) || '</boolean></sparql>' FROM region WHERE r_name = 'NOWHERE'")
+_COPY = "CONSTRUCT { ?r v:label ?name } WHERE { ?r v:r_name ?name }"
+_LABEL = "'<http://ex.org/region/' || r_regionkey || '> <http://ex.org/v#label> \"' || r_name || '\" .'"
+_written("op21_construct_ntriples", _COPY, writers.graph_ntriples, f"SELECT {_LABEL} AS line FROM region")
+_written("op21_construct_turtle", _COPY, writers.graph_turtle, f"SELECT {_LABEL} AS line FROM region")
+_written(
+    "op21_construct_rdfxml", _COPY, writers.graph_rdfxml,
+    "SELECT '<?xml version=\"1.0\"?>' AS line UNION ALL SELECT '<rdf:RDF xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\">' UNION ALL SELECT '<rdf:Description rdf:about=\"http://ex.org/region/' || r_regionkey || '\"><n:label xmlns:n=\"http://ex.org/v#\">' || r_name || '</n:label></rdf:Description>' FROM region UNION ALL SELECT '</rdf:RDF>'",
+)
+
+_TYPED = "'\"' || {0} || '\"^^<http://www.w3.org/2001/XMLSchema#{1}>'"
+
+
+@query("op54_result_types", "SELECT " + _TYPED.format("count(*)", "integer") + " AS n, " + _TYPED.format("sum(p_size)", "integer") + " AS total, '\"' || max(p_name) || '\"' AS last, " + _TYPED.format("CASE WHEN min(p_size) >= 1 THEN 'true' ELSE 'false' END", "boolean") + " AS positive FROM part")
+def _result_types(spark, d):
+    """Whole terms, with their datatypes."""
+    return engine(spark, d).query("SELECT (COUNT(*) AS ?n) (SUM(?size) AS ?total) (MAX(?name) AS ?last) (MIN(?size) >= 1 AS ?positive) WHERE { ?p v:p_size ?size ; v:p_name ?name }").terms()
+
+
+@query("op59_order_triple_terms", "SELECT '<< <http://ex.org/a> <http://ex.org/v#b> ' || t || ' >>' AS x FROM (VALUES ('\"c\"'), ('<< <http://ex.org/d> <http://ex.org/v#e> \"f\" >>')) AS v(t)")
+def _order_triples(spark, d):
+    """Triple terms come after all other terms."""
+    q = "SELECT ?x WHERE { VALUES ?x { << :a v:b << :d v:e 'f' >> >> 'z' :z << :a v:b 'c' >> 5 } } ORDER BY ?x OFFSET 3"
+    return Engine(QuadSource(_small(spark, d)), prefixes=PREFIXES).query(q).terms()
+
+
+@query("op72_path_cap", "SELECT CASE WHEN count(*) * count(*) > 600 THEN 'stopped' ELSE 'whole' END AS outcome FROM nation")
+def _path_cap(spark, d):
+    """All pairs of the ring are more than the cap: an error, and no part of an answer."""
+    try:
+        Engine(QuadSource(ring(spark, d), one_graph=True), path_cap=600, prefixes=PREFIXES).query("SELECT ?x ?y WHERE { ?x v:next+ ?y }").native()
+        outcome = "whole"
+    except LimitExceeded:
+        outcome = "stopped"
+    return spark.createDataFrame([(outcome,)], "outcome string")
+
+
+# ---- transactions and updates
+
+
+def _loaded(spark: SparkSession, d: str, keep_stats: bool = False) -> Store:
+    """A new store with nation and region in their graphs."""
+    store = Store(spark, new_path(spark, "store"), keep_stats)
+    tx = store.begin()
+    tx.add_all(_graphs(spark, d))
+    tx.commit()
+    return store
+
+
+def _by_graph(quads: DataFrame) -> DataFrame:
+    return quads.groupBy(F.regexp_replace("c", "[<>]", "").alias("g")).agg(F.count("*").alias("n"))
+
+
+_N3, _R2 = "(SELECT 3 * count(*) FROM nation)", "(SELECT 2 * count(*) FROM region)"
+_G = "SELECT 'http://ex.org/g/{0}' AS g, {1} AS n"
+_DEFAULT_N = f"SELECT 'urn-less:default' AS g, {_R2} AS n"
+_UNION = " UNION ALL "
+
+
+@query("op79_add_twice", _UNION.join([_G.format("nations", _N3), _G.format("regions", _R2), _G.format("copy", _R2), _DEFAULT_N]))
+def _add_twice(spark, d):
+    store = _loaded(spark, d)
+    tx = store.begin()
+    tx.add_all(_graphs(spark, d))
+    tx.add_all(_graphs(spark, d))
+    tx.commit()
+    return _by_graph(store.quads())
+
+
+@query("op80_delete", _UNION.join([_G.format("nations", "(SELECT 2 * count(*) FROM nation)"), _G.format("copy", "(SELECT count(*) FROM region)"), _DEFAULT_N]))
+def _delete(spark, d):
+    """A predicate in one graph, all of another graph, whose name goes with its last quad, and a quad that isn't there."""
+    store = _loaded(spark, d)
+    tx = store.begin()
+    tx.remove(None, f"<{VOCAB}n_name>", None)
+    tx.remove(None, None, None, (f"<{BASE}g/regions>",))
+    tx.remove(None, f"<{VOCAB}r_name>", None, (f"<{BASE}g/copy>",))
+    tx.remove(f"<{BASE}nobody>", f"<{VOCAB}n_name>", '"x"', (f"<{BASE}g/copy>",))
+    tx.commit()
+    return _by_graph(store.quads())
+
+
+@query("op82_own_writes", f"SELECT 'before' AS seen, {_N3} AS n UNION ALL SELECT 'within', {_N3} + 1 UNION ALL SELECT 'outside', {_N3}")
+def _own_writes(spark, d):
+    store, g = _loaded(spark, d), f"<{BASE}g/nations>"
+    tx = store.begin()
+    rows = [("before", tx.size(g))]
+    tx.add(_S, f"<{VOCAB}n_name>", '"another name"', g)
+    rows += [("within", tx.size(g)), ("outside", store.size(g))]
+    tx.rollback()
+    return spark.createDataFrame(rows, "seen string, n long")
+
+
+@query("op84_rollback_and_clear", f"SELECT 'after rollback' AS step, 3::BIGINT AS graphs, {_N3} + 3 * {_R2} AS n UNION ALL SELECT 'after clear', 2, {_N3} + 2 * {_R2}")
+def _rollback(spark, d):
+    store = _loaded(spark, d)
+    tx = store.begin()
+    tx.clear()
+    tx.rollback()
+    rows = [("after rollback", store.contexts().count(), store.size())]
+    tx.clear(f"<{BASE}g/copy>")
+    tx.commit()
+    rows.append(("after clear", store.contexts().count(), store.size()))
+    return spark.createDataFrame(rows, "step string, graphs long, n long")
+
+
+@query("op85_update", "SELECT 'http://ex.org/nation/' || n_nationkey AS s, n_name AS name, CASE WHEN n_regionkey = 1 THEN 'label' ELSE 'n_name' END AS p, g FROM nation CROSS JOIN (VALUES ('http://ex.org/g/nations'), ('http://ex.org/g/more')) AS x(g) WHERE g LIKE '%nations' OR n_regionkey = 1")
+def _update(spark, d):
+    """DELETE/INSERT WHERE, INSERT with GRAPH, COPY and CLEAR in one request."""
+    store = Store(spark, new_path(spark, "store"))
+    tx = store.begin()
+    tx.add_all(quads(spark, d, "nation", graph=f"<{BASE}g/nations>"))
+    names = " ".join(f"PREFIX {k}: <{v}>" for k, v in PREFIXES.items())
+    tx.update(
+        names
+        + " DELETE { GRAPH <http://ex.org/g/nations> { ?n v:n_name ?x } } INSERT { GRAPH <http://ex.org/g/nations> { ?n v:label ?x } } WHERE { ?n v:n_name ?x ; v:n_region <http://ex.org/region/1> } ;"
+        + " INSERT { GRAPH <http://ex.org/g/temporary> { ?n v:label ?x } } WHERE { ?n v:label ?x } ;"
+        + " COPY <http://ex.org/g/temporary> TO <http://ex.org/g/more> ; CLEAR GRAPH <http://ex.org/g/temporary>"
+    )
+    tx.commit()
+    found = store.quads().where(F.col("p").isin(f"<{VOCAB}n_name>", f"<{VOCAB}label>"))
+    return _plain(found, "s", "o", "p", "c").select("s", F.col("o").alias("name"), F.regexp_extract("p", "#(.*)$", 1).alias("p"), F.col("c").alias("g"))
+
+
+@query("op86_remove_wildcards", _UNION.join([_G.format("nations", "(SELECT 3 * count(*) FROM nation WHERE n_regionkey <> 3) + (SELECT 2 * count(*) FROM nation WHERE n_regionkey = 3)"), _G.format("regions", "(SELECT 2 * count(*) - 1 FROM region)"), _G.format("copy", _R2), _DEFAULT_N]))
+def _remove_wildcards(spark, d):
+    store = _loaded(spark, d)
+    tx = store.begin()
+    tx.remove(None, None, _O)
+    tx.remove(f"<{BASE}region/1>", f"<{VOCAB}r_name>", None, (f"<{BASE}g/regions>", f"<{BASE}g/nations>"))
+    tx.commit()
+    return _by_graph(store.quads())
+
+
+@query("op88_kept_stats", "SELECT 'http://ex.org/v#n_region' AS p, count(*) AS n, count(*) AS subjects, count(DISTINCT n_regionkey) AS objects FROM nation UNION ALL SELECT 'http://ex.org/v#r_name', 3 * count(*) + 1, count(*) + 1, count(DISTINCT r_name) + 1 FROM region UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM nation) + 3 * count(*), (SELECT count(*) FROM nation) + count(*), 2 FROM region")
+def _kept_stats(spark, d):
+    """Statistics after two commits: the second adds a name and takes a predicate's last quads away."""
+    store = _loaded(spark, d, keep_stats=True)
+    tx = store.begin()
+    tx.remove(None, f"<{VOCAB}n_name>", None)
+    tx.add(f"<{BASE}region/new>", f"<{VOCAB}r_name>", '"NEW"')
+    tx.commit()
+    return store.stats().withColumn("p", F.regexp_extract("p", "^<(.*)>$", 1))
+
+
+@query("op89_namespaces", "SELECT 'a' AS prefix, 'http://a2/' AS iri UNION ALL SELECT 'c', 'http://c/'")
+def _namespaces(spark, d):
+    store = Store(spark, new_path(spark, "store"))
+    store.set_namespace("lost", "http://lost/")
+    store.clear_namespaces()
+    for prefix, iri in (("a", "http://a/"), ("b", "http://b/"), ("c", "http://c/"), ("a", "http://a2/")):
+        store.set_namespace(prefix, iri)
+    store.remove_namespace("b")
+    return spark.createDataFrame(sorted(store.namespaces().items()), "prefix string, iri string")
+
+
 # ---- updates and statistics
 
 
@@ -408,6 +638,16 @@ def _fold(spark, d):
     return oplog.fold(_event_log(spark, d)).groupBy(F.regexp_extract("c", "^<(.*)>$", 1).alias("g")).agg(F.count("*").alias("n"), F.max("tx_time").alias("newest"))
 
 
+@query("op90_stream_ingest", _FOLD + " SELECT 'http://ex.org/g/' || g AS g, count(*) AS n, max(tm) AS newest FROM live GROUP BY 1")
+def _stream_ingest(spark, d):
+    """The change log as a stream of files, ingested in micro-batches."""
+    source, store = new_path(spark, "changes"), Store(spark, new_path(spark, "store"))
+    _event_log(spark, d).write.parquet(source)
+    changes = spark.readStream.schema(oplog.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    oplog.ingest(changes, store, new_path(spark, "progress")).awaitTermination()
+    return store.quads().groupBy(F.regexp_extract("c", "^<(.*)>$", 1).alias("g")).agg(F.count("*").alias("n"), F.max("tx_time").alias("newest"))
+
+
 @query("op83_commit_netting", f"WITH l AS ({_LOG}), x AS (SELECT u, t, g, max(tm) AS tm, arg_max(op, tm) AS op FROM l WHERE op <> 'clear' GROUP BY 1, 2, 3), k AS (SELECT g, max(tm) AS til FROM l WHERE op = 'clear' GROUP BY 1) SELECT op, count(*) AS n FROM (SELECT x.op FROM x LEFT JOIN k USING (g) WHERE til IS NULL OR tm > til UNION ALL SELECT 'clear' FROM k) GROUP BY 1")
 def _net(spark, d):
     return oplog.net(_event_log(spark, d)).groupBy("op").agg(F.count("*").alias("n"))

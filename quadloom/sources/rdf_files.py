@@ -24,7 +24,11 @@ def read_nquads(spark: SparkSession, path: str) -> DataFrame:
 
     Literals are put in canonical form where they are integers, decimals or booleans; other datatypes stay as written.
     """
-    lines = spark.read.text(path)
+    return parse_nquads(spark.read.text(path))
+
+
+def parse_nquads(lines: DataFrame) -> DataFrame:
+    """Quads of lines in a column ``value``."""
     m = lambda k: F.regexp_extract("value", _LINE, k)
     df = lines.select(m(1).alias("s"), m(2).alias("p"), m(3).alias("o"), m(4).alias("c")).where("s <> ''")
     return df.select("s", "p", canonical(F.col("o")).alias("o"), F.when(F.col("c") == "", F.lit(T.DEFAULT_GRAPH)).otherwise(F.col("c")).alias("c"))
@@ -104,5 +108,9 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
 
 
 def write_nquads(quads: DataFrame, path: str) -> None:
+    nquads_lines(quads).write.text(path)
+
+
+def nquads_lines(quads: DataFrame) -> DataFrame:
     graph = F.when(F.col("c") != T.DEFAULT_GRAPH, F.col("c"))
-    quads.select(F.concat_ws(" ", "s", "p", "o", graph, F.lit(".")).alias("value")).write.text(path)
+    return quads.select(F.concat_ws(" ", "s", "p", "o", graph, F.lit(".")).alias("value"))

@@ -29,10 +29,14 @@ def check_quad(s: str, p: str, o: str, c: str) -> None:
 
 
 class Store:
-    """Commits append to the log in one Spark write, so other readers see all of a commit or nothing."""
+    """Commits append to the log in one Spark write, so other readers see all of a commit or nothing.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    With ``keep_stats`` each commit also counts the predicates it touched anew (all of them after a clear), which reads their
+    quads; without it statistics are counted when asked for.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep_stats: bool = False):
+        self.spark, self.path, self.keep_stats = spark, path.rstrip("/"), keep_stats
 
     def log(self) -> DataFrame:
         try:
@@ -47,9 +51,9 @@ class Store:
         return oplog.fold(self.log())
 
     def compact(self, target: str) -> Store:
-        """Write the visible quads as the log of a new store, partitioned for scans by predicate."""
+        """Write the visible quads as the log of a new store, in ranges of predicate and subject, so that no predicate is one task."""
         adds = self.quads().select(F.lit("add").alias("op"), "s", "p", "o", "c", "tx_time", F.lit(0).cast("long").alias("seq"))
-        adds.repartition("p").sortWithinPartitions("p", "o").write.parquet(f"{target.rstrip('/')}/log")
+        adds.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.parquet(f"{target.rstrip('/')}/log")
         return Store(self.spark, target)
 
     def begin(self) -> Transaction:
@@ -82,6 +86,31 @@ class Store:
         """(type, s): the class view, each pair once."""
         return type_view(self.quads())
 
+    # -- statistics: a version for each commit, the newest counts
+
+    def stats(self) -> DataFrame:
+        """(p, n, subjects, objects), as of the last commit where statistics are kept."""
+        kept = self._kept_stats()
+        return oplog.predicate_stats(self.quads()) if kept is None else kept
+
+    def _kept_stats(self) -> DataFrame | None:
+        try:
+            versions = self.spark.read.parquet(f"{self.path}/stats")
+        except AnalysisException:
+            return None
+        newest = versions.agg(F.max("version")).first()[0]
+        return versions.where(F.col("version") == newest).where("p is not null").drop("version")
+
+    def _count_again(self, ops: DataFrame, version: int) -> None:
+        old = self._kept_stats()
+        if old is None or not ops.where("op = 'clear'").isEmpty():
+            new = oplog.predicate_stats(self.quads())
+        else:
+            new = oplog.refresh_stats(old, self.quads(), ops)
+        stamp = F.lit(version).cast("long").alias("version")
+        mark = self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema.fields])  # a version without quads is one too
+        new.unionByName(mark).select("*", stamp).write.mode("append").parquet(f"{self.path}/stats")
+
     # -- namespaces: a small log of its own, the last word on a prefix counts
 
     def _names(self) -> DataFrame | None:
@@ -137,7 +166,6 @@ class Transaction:
         self.pending: list[DataFrame] = []
         self.rows: list[tuple] = []
         self.seq = 0
-        self.time = time.time_ns()
 
     def _next(self) -> int:
         self.seq += 1
@@ -145,27 +173,34 @@ class Transaction:
 
     def add(self, s: str, p: str, o: str, c: str = T.DEFAULT_GRAPH) -> None:
         check_quad(s, p, o, c)
-        self.rows.append(("add", s, p, o, c, self.time, self._next()))
+        self.rows.append(("add", s, p, o, c, 0, self._next()))
+
+    def add_all(self, quads: DataFrame) -> None:
+        """Add a DataFrame of quads; those that are no quads stop the transaction's write, not this call."""
+        ok = ~T.is_literal(F.col("s")) & T.is_iri_col(F.col("p")) & ~T.is_triple_col(F.col("c")) & ~T.is_literal(F.col("c"))
+        bad = F.raise_error(F.concat_ws(" ", F.lit("not a quad:"), "s", "p", "o", "c"))
+        self._frame("add", quads.select(F.when(ok, F.col("s")).otherwise(bad.cast("string")).alias("s"), "p", "o", "c"))
 
     def remove(self, s: str | None, p: str | None, o: str | None, contexts: tuple[str, ...] = ()) -> None:
         """Remove every quad, committed or pending, that matches."""
         if s and p and o and contexts:
-            self.rows += [("del", s, p, o, c, self.time, self._next()) for c in contexts]
+            self.rows += [("del", s, p, o, c, 0, self._next()) for c in contexts]
         else:
             self._frame("del", cut(find(self.quads(), s, p, o, contexts).select("s", "p", "o", "c")))
 
     def clear(self, *contexts: str) -> None:
-        self.rows += [("clear", None, None, None, c, self.time, self._next()) for c in contexts or (None,)]
+        self.rows += [("clear", None, None, None, c, 0, self._next()) for c in contexts or (None,)]
 
     def _frame(self, op: str, quads: DataFrame) -> None:
         n = self._next()
-        self.pending.append(quads.select(F.lit(op).alias("op"), "s", "p", "o", "c", F.lit(self.time).alias("tx_time"), F.lit(n).cast("long").alias("seq")))
+        self.pending.append(quads.select(F.lit(op).alias("op"), "s", "p", "o", "c", F.lit(0).cast("long").alias("tx_time"), F.lit(n).cast("long").alias("seq")))
 
     def ops(self) -> DataFrame | None:
+        """The pending operations at the time of asking, so that a commit comes after all that were made before it."""
         parts = list(self.pending)
         if self.rows:
             parts.append(self.spark.createDataFrame(self.rows, oplog.LOG_SCHEMA))
-        return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+        return reduce(lambda a, b: a.unionByName(b), parts).withColumn("tx_time", F.lit(time.time_ns())) if parts else None
 
     def quads(self) -> DataFrame:
         ops = self.ops()
@@ -203,7 +238,7 @@ class Transaction:
                     self._frame("add", cut(instantiate(rel, u.insert).distinct()))
             case "clear":
                 names = {"all": [None], "named": [r["c"] for r in self.contexts().toLocalIterator()]}.get(u.target, [graph(u.target)])
-                self.rows += [("clear", None, None, None, c, self.time, self._next()) for c in names]
+                self.rows += [("clear", None, None, None, c, 0, self._next()) for c in names]
             case "copy" | "move" | "add":
                 a, b = graph(u.source), graph(u.target)
                 if a == b:
@@ -230,11 +265,14 @@ class Transaction:
         if ops is None:
             return
         try:
-            self.store.append(oplog.net(ops))
+            ops = cut(oplog.net(ops)) if self.store.keep_stats else oplog.net(ops)
+            self.store.append(ops)
         except Exception as e:
             METRICS.transaction("failed")
             raise PartialCommit(0, self.seq, e) from e
         METRICS.transaction("committed")
+        if self.store.keep_stats:
+            self.store._count_again(ops, time.time_ns())
         self._reset()
 
     def rollback(self) -> None:
@@ -242,7 +280,7 @@ class Transaction:
         self._reset()
 
     def _reset(self) -> None:
-        self.pending, self.rows, self.time = [], [], time.time_ns()
+        self.pending, self.rows = [], []
 
 
 def ground(t) -> str:

@@ -30,10 +30,13 @@ def net(ops: DataFrame) -> DataFrame:
     """What of a transaction's operations has to be written: the last for each quad, clears kept, what they cover left out."""
     quads = ops.where("op <> 'clear'").groupBy("s", "p", "o", "c").agg(F.max(F.struct("tx_time", "seq", "op")).alias("x"))
     quads = quads.select(F.col("x.op").alias("op"), "s", "p", "o", "c", F.col("x.tx_time").alias("tx_time"), F.col("x.seq").alias("seq"))
-    clears = ops.where("op = 'clear'").groupBy("c").agg(F.max(F.struct("tx_time", "seq")).alias("x"))
-    clears = clears.select(F.col("c").alias("gc"), F.col("x.tx_time").alias("ct"), F.col("x.seq").alias("cs"))
-    covered = (F.col("gc").isNull() | (F.col("gc") == F.col("c"))) & (F.struct("tx_time", "seq") <= F.struct("ct", "cs"))
-    rest = quads.join(F.broadcast(clears), covered, "left_anti")  # one row for each graph a transaction clears
+    at = F.struct("tx_time", "seq")
+    clears = ops.where("op = 'clear'").groupBy(F.col("c").alias("gc")).agg(F.max(at).alias("x"))
+    by_graph = clears.where("gc is not null").select("gc", F.col("x").alias("here"))
+    everywhere = clears.where("gc is null").select(F.col("x").alias("all"))  # one row at most
+    rest = quads.join(by_graph, F.col("c") == F.col("gc"), "left").join(everywhere, F.lit(True), "left")
+    rest = rest.where((F.col("here").isNull() | (at > F.col("here"))) & (F.col("all").isNull() | (at > F.col("all")))).select(*quads.columns)
+    clears = clears.select("gc", F.col("x.tx_time").alias("ct"), F.col("x.seq").alias("cs"))
     none = F.lit(None).cast("string")
     again = clears.select(F.lit("clear").alias("op"), none.alias("s"), none.alias("p"), none.alias("o"), F.col("gc").alias("c"), F.col("ct").alias("tx_time"), F.col("cs").alias("seq"))
     return again.unionByName(rest)

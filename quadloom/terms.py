@@ -123,11 +123,7 @@ def is_triple(term: str) -> bool:
 _FLAT = r'(?:<[^<> ]*>|_:[^ ]+|"(?:[^"\\\\]|\\\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'.replace("\\\\\\\\", "\\\\")
 
 
-def _nested(depth: int) -> str:
-    return _FLAT if depth == 0 else rf"(?:{_FLAT}|<< {_nested(depth - 1)} <[^<> ]*> {_nested(depth - 1)} >>)"
-
-
-_TRIPLE = rf"(?s)^<< ({_nested(3)}) (<[^<> ]*>) ({_nested(3)}) >>$"
+_TOKEN = rf"<<(?= )|>>|{_FLAT}"
 _LIT = r'(?s)^"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?$'
 
 
@@ -176,27 +172,69 @@ def local_type(t: Column) -> Column:
     return F.when(F.startswith(dt, F.lit(XSD)), F.substring(dt, len(XSD) + 1, 100))
 
 
+def _numeric(*kinds: str) -> str:
+    return rf"^\"([^\"]*)\"\^\^<{re.escape(XSD)}(?:{'|'.join(sorted(kinds))})>$"
+
+
+_EXACT, _INTEGER, _NUMBER = _numeric(*INTEGERS, "decimal"), _numeric(*INTEGERS), _numeric(*INTEGERS, "decimal", "double", "float")
+
+
+# Each of these names the term once, so that conditions on derived terms stay small.
+
+
 def exact_col(t: Column) -> Column:
     """Value of integers and decimals."""
-    kind = local_type(t)
-    lex = F.regexp_extract(t, _LIT, 1)
-    return F.when(kind.isin(*INTEGERS, "decimal"), lex.try_cast("decimal(38,18)"))
+    return F.regexp_extract(t, _EXACT, 1).try_cast("decimal(38,18)")
 
 
 def integer_col(t: Column) -> Column:
-    return F.when(local_type(t).isin(*INTEGERS), F.regexp_extract(t, _LIT, 1).try_cast("decimal(38,0)"))
+    return F.regexp_extract(t, _INTEGER, 1).try_cast("decimal(38,0)")
 
 
 def double_col(t: Column) -> Column:
     """Value of any numeric literal as a double."""
-    lex = F.regexp_extract(t, _LIT, 1)
-    return F.when(local_type(t).isin(*INTEGERS, "decimal", "double", "float"), lex.try_cast("double"))
+    return F.regexp_extract(t, _NUMBER, 1).try_cast("double")
+
+
+def parts_col(t: Column) -> Column:
+    """(a, b, c): subject, predicate and object of a triple term at any depth of nesting, NULL for what is none.
+
+    The term's tokens are folded once from the left; a part ends wherever the depth is one again.
+    """
+    zero = F.lit(0)
+    start = F.struct(zero.alias("depth"), zero.alias("k"), *[F.lit("").alias(x) for x in "abc"])
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x == "<<", 1).when(x == ">>", -1).otherwise(0)
+        inner = (acc["depth"] > 0) & (depth > 0)
+        add = lambda n, name: F.when(inner & (acc["k"] == n), F.concat(acc[name], F.when(acc[name] == "", "").otherwise(" "), x)).otherwise(acc[name])
+        k = acc["k"] + F.when(inner & (depth == 1), 1).otherwise(0)
+        return F.struct(depth.alias("depth"), k.alias("k"), *[add(n, name).alias(name) for n, name in enumerate("abc")])
+
+    def finish(acc: Column) -> Column:
+        return F.when((acc["depth"] == 0) & (acc["k"] == 3), F.struct(*[acc[x].alias(x) for x in "abc"]))
+
+    return F.when(is_triple_col(t), F.aggregate(F.regexp_extract_all(t, F.lit(_TOKEN), zero), start, step, finish))
 
 
 def part_col(t: Column, k: int) -> Column:
-    """Subject, predicate or object (1 to 3) of a triple term, which may nest three deep."""
-    found = F.regexp_extract(t, _TRIPLE, k)
-    return F.when(is_triple_col(t) & (found != ""), found)
+    """Subject, predicate or object (1 to 3) of a triple term."""
+    return parts_col(t)["abc"[k - 1]]
+
+
+def split_triple(term: str) -> tuple[str, str, str]:
+    """The parts of a triple term; quotes inside nested terms don't matter."""
+    depth, parts, current = 0, [], []
+    for x in re.findall(_TOKEN, term):
+        before, depth = depth, depth + {"<<": 1, ">>": -1}.get(x, 0)
+        if before and depth:
+            current.append(x)
+            if depth == 1:
+                parts.append(" ".join(current))
+                current = []
+    if depth or len(parts) != 3:
+        raise ValueError(f"not a triple term: {term}")
+    return tuple(parts)
 
 
 def double_text(d: Column) -> Column:

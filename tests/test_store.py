@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quadloom import terms as T
 from quadloom.engine import Engine
+from quadloom.errors import PartialCommit
 from quadloom.server import Endpoint, serve
 from quadloom.sources import rdf_files, writers
 from quadloom.sources.quads import QUAD_SCHEMA, QuadSource
@@ -56,7 +57,30 @@ def test_transactions(store):
     assert store.size() == 0
 
 
+def test_the_later_commit_wins(store):
+    first, second = store.begin(), store.begin()
+    first.remove(A, P, '"1"', (G,))
+    second.add(A, P, '"1"', G)
+    second.commit()
+    first.commit()
+    assert store.size() == 0
+
+
+def test_kept_statistics(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "counted"), keep_stats=True)
+    store.update("INSERT DATA { <http://e/a> <http://e/p> 1, 2 . <http://e/a> <http://e/q> 1 }")
+    store.update("DELETE DATA { <http://e/a> <http://e/q> 1 } ; INSERT DATA { <http://e/b> <http://e/p> 2 }")
+    assert [tuple(r) for r in store.stats().collect()] == [(P, 3, 2, 2)]
+    store.update("DROP ALL")
+    assert store.stats().count() == 0
+
+
 def test_bad_quads(store):
+    literal = store.spark.createDataFrame([('"lit"', P, A, G)], QUAD_SCHEMA)
+    tx = store.begin()
+    tx.add_all(literal)
+    with pytest.raises(PartialCommit):
+        tx.commit()
     for bad in (('"lit"', P, A, G), (A, '"p"', A, G), (A, P, A, "<< <a> <b> <c> >>")):
         with pytest.raises(ValueError):
             store.begin().add(*bad)

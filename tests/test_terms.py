@@ -52,3 +52,15 @@ def test_nested_triple_terms(spark):
     assert tuple(rows[0]) == (inner, "<q>", T.triple_term("_:b", "<r>", '"z"@en'))
     assert tuple(rows[1]) == ("<a>", "<p>", T.literal('>> "quoted" <<'))
     assert tuple(rows[2]) == (None, None, None)
+
+
+def test_triple_terms_of_any_depth(spark):
+    t = '<< <http://e/a> <http://e/p> "x >> \\" << "@en >>'
+    for depth in range(8):
+        t = T.triple_term(t, "<http://e/q>", f'"{depth}"') if depth % 2 else T.triple_term("_:b", "<http://e/q>", t)
+    s, p, o = T.split_triple(t)
+    assert T.triple_term(s, p, o) == t and p == "<http://e/q>"
+    bad = ["<http://e/a>", '"<< x"', "<< <http://e/a> <http://e/p> >>", "<< <http://e/a> <http://e/p> <http://e/b>", None]
+    df = spark.createDataFrame([(x,) for x in [t, *bad]], "t string")
+    got = [tuple(r) for r in df.select(*[T.part_col(F.col("t"), k).alias(f"x{k}") for k in (1, 2, 3)]).collect()]
+    assert got == [(s, p, o)] + [(None, None, None)] * len(bad)
