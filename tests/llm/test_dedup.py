@@ -255,6 +255,26 @@ def test_lines_in_large_blocks(spark):
     assert len(missed) <= 0.05 * links
 
 
+def test_all_pairs_of_a_block(spark):
+    """Near lines of one large block that are near neither its smallest line nor one another's: a chain of changed words, shuffled among others."""
+    rng = random.Random(17)
+    common = [f"{c * 12}{c}common" for c in "abcd"]
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 9)))
+    lines = []
+    for _ in range(30):
+        w = [word() for _ in range(24)]
+        for _ in range(8):  # each is near the one before, the first and the last are not
+            lines.append(" ".join(common + w))
+            for at in rng.sample(range(24), 4):
+                w[at] = word()
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    want, links = brute_lines(rows)
+    assert links >= 200
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_line_columns_with_inner_names(spark):
     """Columns named as the operator's own stay as they are."""
     line = "a line of more than five words"
