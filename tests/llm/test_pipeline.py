@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus, and the registered queries."""
 
+import random
+
 import pytest
 
 from quadloom.llm.queries import ORACLES, QUERIES
@@ -37,3 +39,24 @@ def test_pipeline(spark, tmp_path):
     assert 902 in seen[2] and 902 not in seen[3]
     assert seen[4] == seen[3]
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == seen[4]
+
+
+def test_lines_stage_compares_whole_blocks(spark, tmp_path):
+    """Chains of near lines that all share their longest words: of each chain the first line stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(18)
+    common = [f"{c * 12}{c}common" for c in "abcd"]
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 9)))
+    lines = []
+    for k in range(30):
+        w = [word() for _ in range(24)]
+        for _ in range(8):
+            lines.append((k, " ".join(common + w)))
+            for at in rng.sample(range(24), 4):
+                w[at] = word()
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(lines)], "doc_id long, text string")
+    first = {}
+    for i, (k, _) in enumerate(lines):
+        first.setdefault(k, i)
+    assert {r.doc_id for r in pipeline.lines(spark, docs, str(tmp_path)).collect() if r.text} == set(first.values())
