@@ -275,6 +275,42 @@ def test_all_pairs_of_a_block(spark):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def test_near_lines_of_few_common_words(spark):
+    """One letter changed in most of a line's words, which leaves few words in common, though most letters."""
+    rng = random.Random(18)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for k in range(30):
+        shared, rest = [word(16) for _ in range(7)], [word(5) for _ in range(18)]
+        rows.append((k, " ".join(shared + rest)))
+        rows.append((1000 + k, " ".join(shared + [w[:2] + ("x" if w[2] != "x" else "y") + w[3:] for w in rest])))
+    want, links = brute_lines(rows)
+    assert links == 30
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
+def test_letter_counts_lose_no_link(spark):
+    """Pairs that fail the bound by letter counts are further apart than links may be; lines of up to 2,000 letters, some of other scripts."""
+    rng = random.Random(19)
+    rows = []
+    for k in range(400):
+        x = "".join(rng.choice("aaeeiotns bcdz éß变") for _ in range(rng.choice([5, 30, 200, 2000] if k % 20 == 0 else [5, 30, 200])))
+        y = list(x)
+        for _ in range(int(len(x) * rng.uniform(0, 0.5))):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choice(["", "q", "a", "zz"])
+            y = y or ["a"]
+        rows.append((2 * k, x, "".join(y)))
+    df = spark.createDataFrame(rows, "k long, x string, y string")
+    counts = lambda c: line_dedup._letters(df.selectExpr("k lh", f"{c} norm")).withColumnRenamed("lh", "k")
+    other = counts("x")
+    pairs = df.join(counts("y"), "k").join(other.toDF(*[n if n == "k" else f"{n}_x" for n in other.columns]), "k")
+    got = line_dedup._may_link(pairs).selectExpr("may", "levenshtein(x, y) d", "floor(greatest(length(x), length(y)) * 0.2) most").collect()
+    assert len(got) == 400 and all(r.may for r in got if r.d <= r.most)
+    assert sum(not r.may for r in got) > 0.5 * sum(r.d > r.most for r in got) > 50
+
+
 def test_line_columns_with_inner_names(spark):
     """Columns named as the operator's own stay as they are."""
     line = "a line of more than five words"
