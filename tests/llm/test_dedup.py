@@ -311,6 +311,38 @@ def test_letter_counts_lose_no_link(spark):
     assert sum(not r.may for r in got) > 0.5 * sum(r.d > r.most for r in got) > 50
 
 
+def test_long_lines_of_other_lengths_cannot_link(spark):
+    """Lines long enough to be compared by words: none is a link where their numbers of words differ by more than a fifth."""
+    rows = [(k, " ".join(["word"] * n), " ".join(["word"] * m)) for k, (n, m) in enumerate([(400, 200), (200, 400), (400, 319), (400, 320), (400, 500), (400, 501)])]
+    df = spark.createDataFrame(rows, "k long, x string, y string")
+    counts = lambda c: line_dedup._letters(df.selectExpr("k lh", f"{c} norm")).withColumnRenamed("lh", "k")
+    other = counts("x")
+    pairs = df.join(counts("y"), "k").join(other.toDF(*[n if n == "k" else f"{n}_x" for n in other.columns]), "k")
+    assert [r.may for r in line_dedup._may_link(pairs).orderBy("k").collect()] == [False, False, False, True, True, False]
+
+
+def test_copies_among_lines_with_a_common_passage(spark, monkeypatch):
+    """Near copies in a block of lines that share a passage only: the pairs to verify are not all pairs of copies."""
+    rng = random.Random(26)  # of the block, the smallest line is not one of the copies
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = [word(16) for _ in range(8)]
+    copied = [word(5) for _ in range(40)]
+    lines = [" ".join([word(5) for _ in range(40)] + passage) for _ in range(25)]
+    for _ in range(60):
+        w = list(copied)
+        w[rng.randrange(40)] = word(5)
+        lines.append(" ".join(w + passage))
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    pairs, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda p, *more: pairs.append(p.count()) or verified(p, *more))
+    want, links = brute_lines(rows)
+    assert links == 60 * 59 // 2
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert sum(pairs) < 25 * 24 // 2 + 25 * 60 + links // 3, pairs
+
+
 def test_line_columns_with_inner_names(spark):
     """Columns named as the operator's own stay as they are."""
     line = "a line of more than five words"
