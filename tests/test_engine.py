@@ -9,7 +9,9 @@ from quadloom.engine import Engine
 from quadloom.errors import LimitExceeded, ParseError, QueryTimeout, UnsupportedError
 from quadloom.functions.library import register_function
 from quadloom.functions.values import STRING, Val, text
+from quadloom.operators import joins
 from quadloom.plans.parser import parse_query
+from quadloom.sources.mapping import MappedSource, Table
 from quadloom.sources.quads import QUAD_SCHEMA, QuadSource
 from quadloom.sources.rdf_files import parse_turtle
 from quadloom.store import find
@@ -197,3 +199,31 @@ def test_errors_and_timeout(engine):
         parse_query("SELECT * { SERVICE <http://x> { ?s ?p ?o } }")
     with pytest.raises(QueryTimeout):
         engine.with_timeout(lambda: engine.source.spark.range(10**12).selectExpr("sum(hash(id) % 7)").collect(), 1.0)
+
+
+def test_joins_follow_keys(spark, monkeypatch):
+    """Two tables that share a foreign key are joined after what tells their rows apart, whatever their sizes."""
+    n = 300
+    frames = {
+        "nation": spark.range(1).selectExpr("id", "'N' name"),
+        "customer": spark.range(n).selectExpr("id", "0L nation"),
+        "supplier": spark.range(n).selectExpr("id", "0L nation"),
+        "sale": spark.range(2 * n).selectExpr("id", "id % 7 customer", "id % 11 supplier", "id amount", "repeat('x', 100) note"),
+    }
+    links = {"customer": {"nation": "nation"}, "supplier": {"nation": "nation"}, "sale": {"customer": "customer", "supplier": "supplier"}}
+    columns = {"nation": ["name"], "sale": ["amount", "note"]}
+    tables = [
+        Table(t, f"http://e/{t}", lambda t=t: frames[t], "id", {f"http://e/{c}": c for c in columns.get(t, [])}, {f"http://e/{t}_{c}": (c, to) for c, to in links.get(t, {}).items()})
+        for t in frames
+    ]
+    sizes, join = [], joins.join
+
+    def counted(a, b):
+        out = join(a, b)
+        sizes.append(out.df.count())
+        return out
+
+    monkeypatch.setattr(joins, "join", counted)
+    q = "SELECT (SUM(?a) AS ?n) WHERE { ?x :name 'N' . ?c :customer_nation ?x . ?s :supplier_nation ?x . ?l :sale_customer ?c ; :sale_supplier ?s ; :amount ?a }"
+    assert rows(Engine(MappedSource(spark, tables), prefixes=PREFIX), q) == [(n * (2 * n - 1),)]
+    assert max(sizes) <= 2 * n
