@@ -343,6 +343,20 @@ def test_copies_among_lines_with_a_common_passage(spark, monkeypatch):
     assert sum(pairs) < 25 * 24 // 2 + 25 * 60 + links // 3, pairs
 
 
+def test_bands_give_the_same_links(spark):
+    """Near the limit, a turn of whole distances finds what narrower bands and bounds find, in characters and in words."""
+    rng = random.Random(7)
+    lines = []
+    for n in [1, 2, 8, 30, 150, 260] * 6:
+        words = ["".join(rng.choices("aeinrst", k=rng.randint(1, 9))) for _ in range(n)]
+        for share in (0, 0.1, 0.2, 0.3):
+            lines.append(" ".join("".join(rng.choices("ou", k=len(w))) if rng.random() < share else w for w in words))
+    texts = spark.createDataFrame(list(enumerate(lines)), "lh long, norm string")
+    pairs = spark.createDataFrame([(4 * k, 4 * k + j) for k in range(len(lines) // 4) for j in (1, 2, 3)], "a long, b long")
+    one, two = ({tuple(r) for r in line_dedup.verified(pairs, texts, bands).collect()} for bands in ((1,), (2, 1)))
+    assert one == two and len(one) == pairs.count() and {ok for *_, ok in one} == {True, False}
+
+
 def test_line_columns_with_inner_names(spark):
     """Columns named as the operator's own stay as they are."""
     line = "a line of more than five words"
